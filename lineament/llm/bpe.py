@@ -13,6 +13,7 @@ are merged once a task.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import heapq
 import json
@@ -67,19 +68,31 @@ def pack(ids) -> bytes:
 
 
 class Remembered(dict):
-    """Word to ids; a word that is not there yet is made, and the table stays bounded."""
+    """Word to ids. A full table becomes the older one, in which words of the
+    newer are looked for before they are made: frequent words stay, and at most
+    twice ``most`` are held."""
 
     def __init__(self, make, most: int = REMEMBERED):
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.most, self.older = make, most, {}
 
     def __missing__(self, word):
+        ids = self.older.get(word)
+        if ids is None:
+            ids = self.make(word)
         if len(self) >= self.most:
+            self.older = dict(self)
             self.clear()
-        ids = self[word] = self.make(word)
+        self[word] = ids
         return ids
 
 
+@functools.cache
+def shared_bpe(path: str | None, library: bool = False) -> ForcedBoundaryBpe:
+    """One encoder a Python worker: what it remembers serves the worker's next tasks too."""
+    return ForcedBoundaryBpe(path, library)
+
+
 class ForcedBoundaryBpe:
     """Encoder and decoder for a BPE file with an end-of-word suffix.
 
@@ -230,7 +243,7 @@ def encoded_digests(df: DataFrame, keep: list[str], text: str = "text", path: st
     """Encode and decode ``text``; adds n_tokens and the digests of ids and decoded text."""
 
     def factory():
-        bpe = ForcedBoundaryBpe(path)
+        bpe = shared_bpe(path)
 
         def work(texts):
             counts, coded, decoded = [], [], []

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .bpe import ForcedBoundaryBpe
+from .bpe import shared_bpe
 from .shared import BATCH_ROWS, Cut, ship, table
 
 BLOCK = 256
@@ -64,8 +64,9 @@ def pack_ids(ids: np.ndarray) -> bytes:
     packed: list[bytes] = [b""] * count
     for width in np.unique(widths[widths > 0]):
         rows = np.flatnonzero(widths == width)
-        shifts = np.arange(int(width) - 1, -1, -1, dtype=np.uint32)
-        bits = ((rest[rows][:, :, None] >> shifts) & 1).astype(np.uint8)
+        kind, size = (">u2", 16) if width <= 16 else (">u4", 32)
+        whole = (rest[rows] & np.uint32((1 << int(width)) - 1)).astype(kind)
+        bits = np.unpackbits(whole.view(np.uint8).reshape(len(rows), BLOCK, size // 8), axis=2)[:, :, size - width :]
         for row, line in zip(rows, np.packbits(bits.reshape(len(rows), -1), axis=1)):
             packed[row] = line.tobytes()
     blocks = []
@@ -97,8 +98,10 @@ def unpack_block(data: bytes, k: int) -> np.ndarray:
     size = BLOCK * width // 8
     if width:
         bits = np.unpackbits(np.frombuffer(data, np.uint8, size, at)).reshape(BLOCK, width)
-        weights = (1 << np.arange(width - 1, -1, -1, dtype=np.int64)).astype(np.float32 if width <= 24 else np.float64)
-        values = (bits @ weights).astype(np.uint32) + np.uint32(least)
+        kind, most = (">u2", 16) if width <= 16 else (">u4", 32)
+        whole = np.zeros((BLOCK, most), np.uint8)
+        whole[:, most - width :] = bits
+        values = np.packbits(whole, axis=1).view(kind)[:, 0].astype(np.uint32) + np.uint32(least)
     else:
         values = np.full(BLOCK, least, np.uint32)
     if n:
@@ -108,10 +111,27 @@ def unpack_block(data: bytes, k: int) -> np.ndarray:
 
 
 def unpack_ids(data: bytes) -> np.ndarray:
+    """All ids of a segment; blocks of one width are unpacked together."""
     n, count = int.from_bytes(data[:4], "little"), int.from_bytes(data[4:8], "little")
     if not count:
         return np.zeros(0, np.uint32)
-    return np.concatenate([unpack_block(data, k) for k in range(count)])[:n]
+    raw = np.frombuffer(data, np.uint8)
+    starts = np.frombuffer(data, "<u4", count, 8).astype(np.int64)
+    least = raw[starts[:, None] + np.arange(4)].copy().view("<u4")
+    widths = raw[starts + 4]
+    outliers = raw[starts[:, None] + np.arange(5, 7)].copy().view("<u2")[:, 0].astype(np.int64)
+    values = np.repeat(least.astype(np.uint32), BLOCK, axis=1)
+    for width in np.unique(widths[widths > 0]).tolist():
+        rows = np.flatnonzero(widths == width)
+        kind, most = (">u2", 16) if width <= 16 else (">u4", 32)
+        packed = raw[starts[rows, None] + 7 + np.arange(BLOCK * width // 8)]
+        whole = np.zeros((len(rows), BLOCK, most), np.uint8)
+        whole[:, :, most - width :] = np.unpackbits(packed, axis=1).reshape(len(rows), BLOCK, width)
+        values[rows] += np.packbits(whole, axis=2).reshape(len(rows), -1).view(kind).astype(np.uint32)
+    for k in np.flatnonzero(outliers).tolist():
+        at, m = int(starts[k]) + 7 + BLOCK * int(widths[k]) // 8, int(outliers[k])
+        values[k, np.frombuffer(data, "<u2", m, at)] = np.frombuffer(data, "<u4", m, at + 2 * m)
+    return values.reshape(-1)[:n]
 
 
 def read_range(data: bytes, start: int, end: int) -> np.ndarray:
@@ -156,7 +176,7 @@ def write_tokens(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", pa
 
     def run(batches):
         shard = TaskContext.get().partitionId()
-        bpe = ForcedBoundaryBpe(path, library=True)
+        bpe = shared_bpe(path, True)
         docs = ((i, bpe.packed(t) + end) for b in batches for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
         for k, (keys, lengths, ids) in enumerate(segments_of(docs)):
             n = len(ids) // 4
