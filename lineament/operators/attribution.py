@@ -89,7 +89,9 @@ def gate(verdicts: DataFrame, allowed: list[str]) -> DataFrame:
     known = [f for f in FAMILIES if f in {a.lower() for a in allowed}]
     if len(known) != len({a.lower() for a in allowed}):
         raise ValueError(f"unknown family in {allowed}; known: {', '.join(FAMILIES)}")
-    return verdicts.where((F.col("signal_count") > 0) & ~F.col("primary").isin(known))
+    # Through a generator: a filter on the verdict would be moved below it, copying all that it depends on.
+    breaks = F.when((F.col("signal_count") > 0) & ~F.col("primary").isin(known), F.array(F.lit(1)))
+    return verdicts.select("unit_id", "primary", F.explode_outer(breaks).alias("_breaks")).where("_breaks IS NOT NULL").drop("_breaks")
 
 
 def metric_signals(metrics: DataFrame) -> DataFrame:

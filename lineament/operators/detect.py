@@ -140,6 +140,8 @@ def features(lines: DataFrame, language: str) -> DataFrame:
 
 def signals(units: DataFrame, analyzers: tuple[str, ...] | None = None, languages: tuple[str, ...] = LANGUAGES) -> DataFrame:
     """unit_id, path, language, n and the array of fired signal ids."""
+    # Inferring constraints over some sixty dependent columns takes the optimiser minutes and yields no filter.
+    units.sparkSession.conf.set("spark.sql.constraintPropagation.enabled", "false")
     lines = with_lines(units)
     parts = []
     for language in languages:

@@ -77,7 +77,8 @@ def rolled_up(verdicts: DataFrame) -> DataFrame:
 
 def family_share(verdicts: DataFrame) -> DataFrame:
     """Percent of lines by family over units with lines and a verdict."""
-    sums = verdicts.where("n >= 1").agg(F.sum("n").alias("n"), *[F.sum(F.round(F.col(f"share_{f}") * 1000000).cast("long") * F.col("n")).alias(f"s_{f}") for f in FAMILIES])
+    # Units without lines weigh nothing.
+    sums = verdicts.agg(F.sum("n").alias("n"), *[F.sum(F.round(F.col(f"share_{f}") * 1000000).cast("long") * F.col("n")).alias(f"s_{f}") for f in FAMILIES])
     rows = F.explode(F.array(*[F.struct(F.lit(f).alias("family"), F.coalesce(F.floor(F.col(f"s_{f}") / F.col("n") / 10000 + 0.5), F.lit(0)).cast("long").alias("percent")) for f in FAMILIES]))
     return sums.select(rows.alias("r")).select("r.*")
 
