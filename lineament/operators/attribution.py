@@ -80,7 +80,7 @@ def blended(one: DataFrame, other: DataFrame, blend: float) -> DataFrame:
     """(1 - b) of one's shares and b of the other's, b clamped to 0..1, and the verdict anew."""
     b = min(1.0, max(0.0, blend))
     o = other.select("unit_id", *[F.col(f"share_{f}").alias(f"o_{f}") for f in FAMILIES])
-    mixed = one.join(o, "unit_id").select("unit_id", *[F.round(F.col(f"share_{f}") * (1 - b) + F.col(f"o_{f}") * b, 6).alias(f"share_{f}") for f in FAMILIES])
+    mixed = one.join(o, "unit_id").select("unit_id", *[F.round(F.col(f"share_{f}") * (1 - b) + F.col(f"o_{f}") * b, 8).alias(f"share_{f}") for f in FAMILIES])
     return with_primary(mixed)
 
 

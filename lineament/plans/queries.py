@@ -182,7 +182,7 @@ def unknown_id_weight(spark, d):
     return at.weighted(rows, overrides(spark)).select("unit_id", "id", "weight")
 
 
-@register("blend_scores", f"{CODE_VERDICTS}, w AS (SELECT unit_id, {', '.join(f'CASE WHEN unit_id % 5 = {k} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS m_{f}' for k, f in enumerate(FAMILIES))} FROM u), b AS (SELECT unit_id, {', '.join(f'round(share_{f} * 0.75 + m_{f} * 0.25, 6) AS share_{f}' for f in FAMILIES)} FROM v JOIN w USING (unit_id)) SELECT unit_id, {SHARES}, {at.primary_sql().replace('primary_family', chr(34) + 'primary' + chr(34))} FROM b")
+@register("blend_scores", f"{CODE_VERDICTS}, w AS (SELECT unit_id, {', '.join(f'CASE WHEN unit_id % 5 = {k} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS m_{f}' for k, f in enumerate(FAMILIES))} FROM u), b AS (SELECT unit_id, {', '.join(f'round(share_{f} * 0.75 + m_{f} * 0.25, 8) AS share_{f}' for f in FAMILIES)} FROM v JOIN w USING (unit_id)) SELECT unit_id, {SHARES}, {at.primary_sql().replace('primary_family', chr(34) + 'primary' + chr(34))} FROM b")
 def blend_scores(spark, d):
     v = code_verdicts(spark, d)
     other = v.select("unit_id", *[F.when(F.col("unit_id") % 5 == k, F.lit(1.0)).otherwise(F.lit(0.0)).alias(f"share_{f}") for k, f in enumerate(FAMILIES)])
@@ -370,11 +370,11 @@ def sequence_loglik(spark, d):
     return markov.likelihoods(s, markov.transitions(s), size).select("seq_id", "family", F.round("ll", 4).alias("ll"))
 
 
-@register("markov_classify", f"{_LL}, e AS (SELECT seq_id, family, exp(ll - max(ll) OVER (PARTITION BY seq_id)) AS e FROM l) SELECT seq_id, arg_max(family, e) AS family, round(max(e) / sum(e), 4) AS prob FROM e GROUP BY seq_id")
+@register("markov_classify", f"{_LL}, e AS (SELECT seq_id, family, exp(ll - max(ll) OVER (PARTITION BY seq_id)) AS e FROM l) SELECT seq_id, arg_max(family, e) AS family, round(max(e) / sum(e), 6) AS prob FROM e GROUP BY seq_id")
 def markov_classify(spark, d):
     s = sequences(spark, d)
     size = s.select("token").distinct().count()
-    return markov.classified(markov.likelihoods(s, markov.transitions(s), size)).withColumn("prob", F.round("prob", 4))
+    return markov.classified(markov.likelihoods(s, markov.transitions(s), size))
 
 
 @register("label_index", f"{CODE_VERDICTS} SELECT primary_family AS label, (dense_rank() OVER (ORDER BY primary_family) - 1)::INT AS idx FROM (SELECT DISTINCT primary_family FROM v)")
@@ -431,10 +431,10 @@ def trained_ensemble(spark, d):
 
 
 def saves(spark, d):
-    return read(spark, d, "events").select(F.col("user_id").alias("path"), F.unix_millis("ts").alias("ms"))
+    return read(spark, d, "events").select(F.col("user_id").alias("path"), F.expr("floor(timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts) / 1000)").alias("ms"))
 
 
-@register("watch_debounced", "SELECT DISTINCT user_id AS path, floor(epoch_ms(ts) / 300)::BIGINT AS \"window\" FROM events")
+@register("watch_debounced", "SELECT DISTINCT user_id AS path, floor(epoch_us(ts) / 300000)::BIGINT AS \"window\" FROM events")
 def watch_debounced(spark, d):
     return watch.debounced(saves(spark, d))
 
