@@ -18,8 +18,6 @@ import hashlib
 import heapq
 import json
 import re
-from array import array
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +36,7 @@ NONE, LONG, LOW = 1 << 62, 48, (1 << 32) - 1
 #: Characters beyond those for which lower() and the word pattern are known to
 #: agree between Python and the tokenizer's own normaliser.
 UNUSUAL = re.compile("[\x1c-\x1f\x85\xa0İŉ]|[^\x00-ſ]")
+UNUSUAL_ASCII = "\x1c\x1d\x1e\x1f"
 
 
 def byte_symbols() -> list[str]:
@@ -63,8 +62,11 @@ def usual_pattern(pattern: str) -> str:
     return pattern.replace("[\\p{L}]", f"[{letters}]").replace("\\p{L}", letters).replace("\\p{N}", numbers)
 
 
-def pack(ids) -> bytes:
-    return array("I", ids).tobytes()
+def unusual(text: str) -> bool:
+    """Whether UNUSUAL is found; an ASCII text is only looked through for four characters."""
+    if text.isascii():
+        return any(c in text for c in UNUSUAL_ASCII)
+    return UNUSUAL.search(text) is not None
 
 
 class Remembered(dict):
@@ -120,6 +122,8 @@ class ForcedBoundaryBpe:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         names = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
         self.names = [names.get(i, "") for i in range(max(names) + 1)]
+        #: Each id as four bytes; what is remembered are these, joined.
+        self.four = [i.to_bytes(4, "little") for i in range(len(self.names))]
         self.decimals = [str(i) for i in range(len(self.names))]
         self.specials = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
         split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
@@ -145,8 +149,8 @@ class ForcedBoundaryBpe:
         inside = self.inside
         return [i + 1 for i, pair in enumerate(map("".join, zip(word, word[1:]))) if pair not in inside]
 
-    def fragments(self, word: str) -> tuple[int, ...]:
-        """Ids of a word of byte symbols: its fragments', one after another."""
+    def fragments(self, word: str) -> bytes:
+        """Packed ids of a word of byte symbols: its fragments', one after another."""
         ends = [*self.cuts(word), len(word)]
         out: list[int] = []
         start = 0
@@ -156,7 +160,10 @@ class ForcedBoundaryBpe:
                 symbols[-1] += self.suffix
             out += self.merge([self.vocab[s] for s in symbols])
             start = end
-        return tuple(out)
+        return self.pack(out)
+
+    def pack(self, ids) -> bytes:
+        return b"".join([self.four[i] for i in ids])
 
     def merge(self, ids: list[int]) -> list[int]:
         """Merge by rank, then from the left; ``ids`` may be changed."""
@@ -196,18 +203,21 @@ class ForcedBoundaryBpe:
                 heapq.heappush(heap, (m, h))
         return [x for x in ids if x >= 0]
 
-    def word(self, word: str) -> tuple[int, ...]:
+    def word(self, word: str) -> bytes:
         symbols = self.symbols
         return self.fragments("".join([symbols[b] for b in word.encode()]))
 
-    def library_word(self, word: str) -> tuple[int, ...]:
-        symbols = self.symbols
+    def library_word(self, word: str) -> bytes:
+        symbols, four = self.symbols, self.four
         found = self.tokenizer.model.tokenize("".join([symbols[b] for b in word.encode()]))
-        return tuple([t.id for t in found])
+        return b"".join([four[t.id] for t in found])
 
     def chunk(self, chunk: str) -> bytes:
-        """Packed ids of what stands between white space, in usual characters."""
-        return pack(chain.from_iterable(map(self.by_word.__getitem__, self.find(chunk.lower()))))
+        """Packed ids of what stands between white space, in usual characters and lower case."""
+        words = self.find(chunk)
+        if len(words) == 1:
+            return self.by_word[words[0]]
+        return b"".join(map(self.by_word.__getitem__, words))
 
     def packed(self, text: str | None) -> bytes:
         """The ids of a text, each as four bytes."""
@@ -216,13 +226,13 @@ class ForcedBoundaryBpe:
         out: list[bytes] = []
         for piece in self.specials.split(text) if "<|" in text else (text,):
             if piece in self.special:
-                out.append(pack([self.special[piece]]))
-            elif UNUSUAL.search(piece):
+                out.append(self.four[self.special[piece]])
+            elif unusual(piece):
                 plain = self.tokenizer.normalizer.normalize_str(piece)
                 words = [w for w, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(plain)]
-                out.append(pack(chain.from_iterable(map(self.by_symbols.__getitem__, words))))
+                out.extend(map(self.by_symbols.__getitem__, words))
             else:
-                out.extend(map(self.by_chunk.__getitem__, piece.split()))
+                out.extend(map(self.by_chunk.__getitem__, piece.lower().split()))
         return b"".join(out)
 
     def encode(self, text: str | None) -> list[int]:
