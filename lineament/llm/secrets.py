@@ -1,15 +1,14 @@
 """Secret scans: base patterns, and a linear-chain conditional random field.
 
 Tokens are runs of non-blank characters, tagged B (a secret begins), I (it goes
-on) or O. A token may be B or I only if it has the shape of a secret
-(``candidate``: eight characters or more with a digit in it, or any token of a
-private-key block); every other token is O by definition of the lattice. So the
-best path falls into independent paths over runs of candidates between two O,
-and Viterbi over these runs gives the best path of the whole text without
-visiting the rest of it.
-
-Emission features are the token's shape, the two words on either side, and
-features of the whole file. Weights are fitted here, by exact gradients of the
+on) or O. Every token may be any of them, whatever its shape; the only path that
+is forbidden is I after O. Viterbi runs wherever the best path may leave O; the
+rest, which a bound proves to be O, is not visited.
+
+Emission features are the token's shape, the words beside it, and features of
+the whole file. A token's own score is remembered by its characters; what lies
+beside it is a number of bits that indexes a table of scores.
+Weights are fitted here, by exact gradients of the
 conditional likelihood, on sentences made by a seeded rule (``examples``).
 
 Null and empty texts have no spans. Repeated rows are scanned each by itself,
@@ -40,7 +39,6 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 BLOCK = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----.*?(?:-----END [A-Z ]*PRIVATE KEY-----|\Z)", re.S)
-DIGITS = re.compile(r"[0-9]+")
 WRAP = "\"'`,;:.!?()[]{}<>*#$%&|"
 O, B, I = range(3)
 
@@ -74,11 +72,21 @@ SHAPES = {
 AROUND = re.compile(r"(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|key|bearer|credentials?|authorization|auth)\W*\Z", re.I)
 JOIN = re.compile(r"[:=]+\Z|=>\Z|is\Z", re.I)
 PLAIN = re.compile(r"(?:commit|sha|version|isbn|order|invoice|phone|id|serial|rev)\W*\Z", re.I)
+PHRASE = re.compile(r"(?:passphrase|phrase|mnemonic)\W*\Z", re.I)
+SIGNS = re.compile(r"[!@#$%^&*~]")
+SWITCH = re.compile(r"[a-z](?=[A-Z])")
+VOWEL = re.compile(r"[aeiouy]", re.I)
+CLOSES = re.compile(r"""["'`.,;!?)\]}]\Z""")
+#: What lies beside a token, a bit each.
+CONTEXT = (
+    "left:keyword", "left2:keyword", "left:join", "left:plain", "left2:plain", "right:keyword", "left:closes",
+    "line start", "block", "given", "given word", "in phrase",
+)
 FEATURES = (
-    "bias", "block", *SHAPES, "lower+digit", "upper+lower+digit", "upper+digit", "punctuation",
+    "bias", *SHAPES, "lower+digit", "upper+lower+digit", "upper+digit", "punctuation",
     "length<12", "length<20", "length<40", "length>=40", "entropy<2.5", "entropy<3.5", "entropy>=3.5",
-    "left:keyword", "left2:keyword", "left:join", "left:plain", "left2:plain", "right:keyword",
-    "inner:keyword", "file:keywords", "file:settings", "file:key block",
+    "word", "title", "upper", "case switch", "case switches>=3", "few vowels", "opens quote", "closes quote",
+    "inner:keyword", "file:keywords", "file:settings", "file:key block", *CONTEXT,
 )
 AT = {name: i for i, name in enumerate(FEATURES)}
 
@@ -101,73 +109,150 @@ def file_features(text: str) -> list[str]:
     return out
 
 
-def features(token: str, left: list[str], right: list[str], inside: bool, whole: list[str]) -> list[int]:
+KEYWORD, JOINS, PLAINS, SHUTS, WORD, OPENS, PHRASES, AHEAD = (1 << k for k in range(8))
+
+
+def profile(token: str) -> tuple[list[int], int]:
+    """Features of the token alone, and flags for its neighbours."""
     core = token.strip(WRAP)
-    names = ["bias", *whole]
-    if inside:
-        names.append("block")
-    names += [k for k, p in SHAPES.items() if p.match(core)]
-    digit, low, up = (any(map(f, core)) for f in (str.isdigit, str.islower, str.isupper))
+    names = ["bias"]
+    n = len(core)
+    word = core.isalpha() and core.islower()
+    # Short words of small letters have none of the shapes.
+    if not word or n >= 16:
+        names += [k for k, p in SHAPES.items() if p.match(core)]
+    digit, low, up = (False, True, False) if word else (any(map(f, core)) for f in (str.isdigit, str.islower, str.isupper))
     if digit and (low or up):
         names.append("upper+lower+digit" if low and up else "lower+digit" if low else "upper+digit")
-    if any(c in "!@#$%^&*~" for c in core):
+    if not word and SIGNS.search(core):
         names.append("punctuation")
-    n, e = len(core), entropy(core)
+    e = entropy(core)
     names.append("length<12" if n < 12 else "length<20" if n < 20 else "length<40" if n < 40 else "length>=40")
     names.append("entropy<2.5" if e < 2.5 else "entropy<3.5" if e < 3.5 else "entropy>=3.5")
-    if left:
-        names += ["left:keyword"] * bool(AROUND.search(left[-1])) + ["left:join"] * bool(JOIN.search(left[-1])) + ["left:plain"] * bool(PLAIN.search(left[-1]))
-    if len(left) > 1:
-        names += ["left2:keyword"] * bool(AROUND.search(left[-2])) + ["left2:plain"] * bool(PLAIN.search(left[-2]))
-    if right and AROUND.search(right[0]):
-        names.append("right:keyword")
+    if core.isalpha():
+        names += ["word"] * word + ["title"] * core.istitle() + ["upper"] * (n > 1 and core.isupper())
+    switches = len(SWITCH.findall(core))
+    names += ["case switch"] * (switches > 0) + ["case switches>=3"] * (switches > 2)
+    if n >= 8 and core.isascii() and 5 * len(VOWEL.findall(core)) < n:
+        names.append("few vowels")
+    opens, closes = token[0] in "\"'`", len(token) > 1 and token.rstrip(".,;:!?)")[-1:] in ("\"", "'", "`")
+    names += ["opens quote"] * (opens and not closes) + ["closes quote"] * (closes and not opens)
     head = re.split(r"[:=]", core, maxsplit=1)
-    if len(head) > 1 and AROUND.search(head[0]):
+    if len(head) > 1 and AROUND.search(head[0][-80:]):
         names.append("inner:keyword")
-    return [AT[x] for x in names]
+    end = token[-80:]
+    tests = (AROUND.search(end), JOIN.search(end), PLAIN.search(end), CLOSES.search(end), word, opens and not closes, PHRASE.search(end), AROUND.search(token[:40]))
+    return [AT[x] for x in names], sum(1 << k for k, found in enumerate(tests) if found)
+
+
+def context(flags: np.ndarray, starts: np.ndarray, inside: np.ndarray) -> np.ndarray:
+    """The bits of CONTEXT for every token."""
+    before = np.concatenate(([0, 0], flags))
+    one, two, after = before[1:-1], before[:-2], np.concatenate((flags[1:], [0]))
+    has = lambda f, bit: (f & bit) != 0
+    given = has(one, JOINS) & (has(one, KEYWORD) | has(two, KEYWORD))
+    # What follows "passphrase:" or the like on its line, as far as the next stop.
+    phrase = np.zeros(len(flags), bool)
+    named = has(one, PHRASES) | has(two, PHRASES)
+    for k in np.flatnonzero(named & (has(one, JOINS) | has(flags, OPENS))).tolist():
+        j = k
+        while not phrase[j]:
+            phrase[j] = True
+            if flags[j] & SHUTS or j + 1 == len(flags) or starts[j + 1]:
+                break
+            j += 1
+    bits = (
+        has(one, KEYWORD), has(two, KEYWORD), has(one, JOINS), has(one, PLAINS), has(two, PLAINS), has(after, AHEAD), has(one, SHUTS),
+        starts, inside, given, given & has(flags, WORD), phrase,
+    )
+    out = np.zeros(len(flags), np.int64)
+    for k, b in enumerate(bits):
+        out |= b.astype(np.int64) << k
+    return out
 
 
-def candidate(core: str) -> bool:
-    return len(core) >= 8 and DIGITS.search(core) is not None
+def pieces_of(text: str) -> list[tuple[int, int, bool]]:
+    """Lines, cut at the edges of private-key blocks: (start, end, inside a block)."""
+    edges, at = [], 0
+    for m in BLOCK.finditer(text) if "-----BEGIN" in text else ():
+        edges += [(at, m.start(), False), (m.start(), m.end(), True)]
+        at = m.end()
+    out = []
+    for a, b, inside in [*edges, (at, len(text), False)]:
+        for line in text[a:b].split("\n"):
+            out.append((a, a + len(line), inside))
+            a += len(line) + 1
+    return out
 
 
-def runs_of(text: str) -> list[list[tuple[int, int, bool]]]:
-    """Runs of neighbouring candidates: (start, end, inside a key block)."""
-    blocks = [(m.start(), m.end()) for m in BLOCK.finditer(text)] if "-----BEGIN" in text else []
-    tokens: list[tuple[int, int, bool]] = []
-    for a, b in blocks:
-        tokens += [(a + m.start(), a + m.end(), True) for m in re.finditer(r"\S+", text[a:b])]
-    done = 0
-    size = len(text)
-    for m in DIGITS.finditer(text):
-        if m.start() < done:
-            continue
-        a, b = m.start(), m.end()
-        while a > 0 and not text[a - 1].isspace():
-            a -= 1
-        while b < size and not text[b].isspace():
-            b += 1
-        done = b
-        if b - a >= 8 and candidate(text[a:b].strip(WRAP)) and not any(x <= a < y for x, y in blocks):
-            tokens.append((a, b, False))
-    tokens.sort()
-    runs: list[list[tuple[int, int, bool]]] = []
-    for t in tokens:
-        if runs and text[runs[-1][-1][1] : t[0]].isspace():
-            runs[-1].append(t)
-        else:
-            runs.append([t])
-    return runs
-
-
-def run_features(text: str, run: list[tuple[int, int, bool]], whole: list[str]) -> np.ndarray:
-    x = np.zeros((len(run), len(FEATURES)))
-    for k, (a, b, inside) in enumerate(run):
-        left, right = text[max(0, a - 80) : a].split()[-2:], text[b : b + 40].split()[:1]
-        x[k, features(text[a:b], left, right, inside, whole)] = 1
+def tokens_of(text: str) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Tokens, and whether each begins a line and is inside a private-key block."""
+    words: list[str] = []
+    first, within = [], []
+    for a, b, inside in pieces_of(text):
+        line = text[a:b].split()
+        if line:
+            first.append(len(words))
+            within += [inside] * len(line)
+            words += line
+    starts = np.zeros(len(words), bool)
+    starts[first] = True
+    return words, starts, np.array(within, bool)
+
+
+def places_of(text: str) -> list[tuple[int, int, bool]]:
+    """(start, end, inside) of the same tokens."""
+    return [(a + m.start(), a + m.end(), inside) for a, b, inside in pieces_of(text) for m in re.finditer(r"\S+", text[a:b])]
+
+
+def text_features(text: str) -> np.ndarray:
+    words, starts, inside = tokens_of(text)
+    x = np.zeros((len(words), len(FEATURES)))
+    profiles = [profile(w) for w in words]
+    whole = [AT[f] for f in file_features(text)]
+    codes = context(np.array([f for _, f in profiles], np.int64), starts, inside)
+    for k, (own, _) in enumerate(profiles):
+        x[k, own + whole] = 1
+    x[:, AT[CONTEXT[0]] :] = codes[:, None] >> np.arange(len(CONTEXT)) & 1
     return x
 
 
+class Scores:
+    """Emission scores of texts; scores of tokens are kept while they take little memory."""
+
+    ROWS, CHARACTERS = 500_000, 20_000_000
+
+    def __init__(self, weights: np.ndarray):
+        self.weights = weights
+        codes = np.arange(1 << len(CONTEXT))
+        self.beside = (codes[:, None] >> np.arange(len(CONTEXT)) & 1) @ weights[AT[CONTEXT[0]] :]
+        self.clear()
+
+    def clear(self) -> None:
+        self.known: dict[str, int] = {}
+        self.size = 0
+        self.own, self.flags = np.empty((1024, 3)), np.empty(1024, np.int64)
+
+    def learn(self, words: set[str]) -> None:
+        for w in words:
+            k = len(self.known)
+            if k == len(self.flags):
+                self.own, self.flags = np.concatenate((self.own, np.empty_like(self.own))), np.concatenate((self.flags, np.empty_like(self.flags)))
+            own, self.flags[k] = profile(w)
+            self.own[k] = self.weights[own].sum(axis=0)
+            self.known[w] = k
+            self.size += len(w)
+
+    def of(self, text: str) -> np.ndarray:
+        words, starts, inside = tokens_of(text)
+        if len(self.known) > self.ROWS or self.size > self.CHARACTERS:
+            self.clear()
+        self.learn({w for w in words if w not in self.known})
+        ids = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        whole = self.weights[[AT[f] for f in file_features(text)]].sum(axis=0)
+        return self.own[ids] + self.beside[context(self.flags[ids], starts, inside)] + whole
+
+
 # The chain. -----------------------------------------------------------------
 
 
@@ -178,46 +263,83 @@ def forbid(transitions: np.ndarray) -> np.ndarray:
     return t
 
 
-def viterbi(x: np.ndarray, weights: np.ndarray, transitions: np.ndarray) -> list[int]:
-    """Best tags of a run that stands between two O."""
-    scores, t = x @ weights, forbid(transitions)
-    best = scores[0] + t[O]
+def best_path(scores: np.ndarray, t: np.ndarray) -> list[int]:
+    """Best tags of a chain that stands between two O."""
+    (oo, ob, oi), (bo, bb, bi), (io, ib, ii) = t.tolist()
+    rows = iter(scores.tolist())
+    x, y, z = next(rows)
+    o, b, i = x + oo, y + ob, z + oi
     back = []
-    for s in scores[1:]:
-        through = best[:, None] + t
-        back.append(through.argmax(axis=0))
-        best = through.max(axis=0) + s
-    tags = [int((best + t[:, O]).argmax())]
-    for b in reversed(back):
-        tags.append(int(b[tags[-1]]))
+    for x, y, z in rows:
+        p, p0 = o + oo, O
+        q, q0 = o + ob, O
+        r, r0 = o + oi, O
+        if b + bo > p:
+            p, p0 = b + bo, B
+        if i + io > p:
+            p, p0 = i + io, I
+        if b + bb > q:
+            q, q0 = b + bb, B
+        if i + ib > q:
+            q, q0 = i + ib, I
+        if b + bi > r:
+            r, r0 = b + bi, B
+        if i + ii > r:
+            r, r0 = i + ii, I
+        back.append((p0, q0, r0))
+        o, b, i = p + x, q + y, r + z
+    tags = [int(np.argmax((o + oo, b + bo, i + io)))]
+    for step in reversed(back):
+        tags.append(step[tags[-1]])
     return tags[::-1]
 
 
-def _gradient(x: np.ndarray, y: list[int], weights: np.ndarray, transitions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Gradient of the log likelihood of one run's tags, by forward and backward sums."""
-    scores, t = x @ weights, forbid(transitions)
-    n = len(y)
+def viterbi(x: np.ndarray, weights: np.ndarray, transitions: np.ndarray) -> list[int]:
+    return best_path(x @ weights, forbid(transitions))
+
+
+def runs_of(scores: np.ndarray, t: np.ndarray) -> list[tuple[int, int]]:
+    """The runs of tokens (start, end) outside which the best path is O.
+
+    A stretch between two O, from a B at i to j, gains over O at most
+    start[i] + more[i + 1] + ... + more[j] + end. Where no stretch through a token
+    can gain, the token is O; the bound cuts no path that could be the best.
+    """
+    base = scores[:, O] + t[O, O]
+    start = scores[:, B] + t[O, B] - base
+    more = np.maximum(scores[:, B] + t[1:, B].max(), scores[:, I] + t[1:, I].max()) - base
+    end = t[1:, O].max() - t[O, O]
+    sums = np.cumsum(more)
+    best = np.maximum.accumulate(start - sums) + np.maximum.accumulate(sums[::-1])[::-1] + end
+    edges = np.flatnonzero(np.diff(np.concatenate(([False], best > -1e-6, [False]))))
+    return list(zip(edges[::2].tolist(), edges[1::2].tolist()))
+
+
+def _gradient(x: np.ndarray, y: np.ndarray, there: np.ndarray, weights: np.ndarray, transitions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient of the log likelihood of the texts' tags, by forward and backward sums.
+
+    Texts are filled up with places that can only be O, at least one each; these
+    add the same to both sides.
+    """
+    t = forbid(transitions)
+    scores = np.where(there[..., None], x @ weights, np.array([0.0, -1e9, -1e9]))
+    n = scores.shape[1]
     add = np.logaddexp.reduce
-    forward, backward = np.empty((n, 3)), np.empty((n, 3))
-    forward[0] = scores[0] + t[O]
+    forward, backward = np.empty_like(scores), np.empty_like(scores)
+    forward[:, 0] = scores[:, 0] + t[O]
     for k in range(1, n):
-        forward[k] = add(forward[k - 1][:, None] + t, axis=0) + scores[k]
-    backward[-1] = t[:, O]
+        forward[:, k] = add(forward[:, k - 1, :, None] + t, axis=1) + scores[:, k]
+    backward[:, -1] = t[:, O]
     for k in range(n - 2, -1, -1):
-        backward[k] = add(t + (scores[k + 1] + backward[k + 1])[None, :], axis=1)
-    z = add(forward[-1] + backward[-1])
-    marginal = np.exp(forward + backward - z)
+        backward[:, k] = add(t + (scores[:, k + 1] + backward[:, k + 1])[:, None, :], axis=2)
+    z = add(forward[:, -1] + backward[:, -1], axis=1)
+    marginal = np.exp(forward + backward - z[:, None, None])
     want = np.eye(3)[y]
-    dw = x.T @ (want - marginal)
-    dt = np.zeros((3, 3))
-    path = [O, *y, O]
-    for a, b in zip(path, path[1:]):
-        dt[a, b] += 1
-    dt[O] -= marginal[0]
-    dt[:, O] -= marginal[-1]
-    for k in range(1, n):
-        dt -= np.exp(forward[k - 1][:, None] + t + (scores[k] + backward[k])[None, :] - z)
-    return dw, dt
+    dw = np.einsum("ntf,ntk->fk", x, want - marginal, optimize=True)
+    dt = np.einsum("nti,ntj->ij", want[:, :-1], want[:, 1:])
+    dt[O] += (want[:, 0] - marginal[:, 0]).sum(axis=0)
+    steps = forward[:, :-1, :, None] + t + (scores[:, 1:] + backward[:, 1:])[:, :, None, :]
+    return dw, dt - np.exp(steps - z[:, None, None, None]).sum(axis=(0, 1))
 
 
 def examples(count: int = 240, seed: int = 7) -> list[tuple[str, list[tuple[int, int]]]]:
@@ -233,6 +355,29 @@ def examples(count: int = 240, seed: int = 7) -> list[tuple[str, list[tuple[int,
             if any(c.isdigit() for c in s) and any(c.islower() for c in s) and any(c.isupper() for c in s):
                 return s
 
+    def prose(n: int) -> str:
+        """Words of all lengths, with stops, signs and repeats, and no secret."""
+        chars = string.ascii_lowercase + r.choice(["", "", "éèêç", "äöüß", "ñó"])
+        stops = r.choice([["", "", "", "", ",", "."], ["###", "***", "&&&", "%%%", "$$$", ""], [""], ["", ", ", ".\n", "\n"]])
+        few = [some(chars, r.randint(1, 24)) for _ in range(r.choice([2, 30, 200]))]
+        change = lambda w: r.choice([w, w, w, w, w, w.title(), w.upper(), "#", '"' + w, w + '"', some("0123456789", r.randint(1, 6))])
+        return " ".join(change(r.choice(few)) + r.choice(stops) for _ in range(n)) + "\n"
+
+    def mixed_letters(n: int) -> str:
+        while True:
+            s = some(string.ascii_letters, n)
+            if any(c.islower() for c in s[1:]) and any(c.isupper() for c in s[1:]):
+                return s
+
+    def signed(n: int) -> str:
+        s = mixed_letters(n)
+        k = r.randint(2, n - 2)
+        return s[:k] + r.choice("!@#$%^&*~") + s[k:]
+
+    def phrase() -> tuple[str, str]:
+        words = " ".join(word() for _ in range(r.randint(3, 8)))
+        return r.choice(["passphrase", "recovery phrase", "mnemonic"]) + r.choice([": ", " = "]), words
+
     secrets = [
         lambda: ("", "ghp_" + mixed(36)), lambda: ("", "sk-" + mixed(40)), lambda: ("", "xoxb-" + some("0123456789", 12) + "-" + mixed(24)),
         lambda: ("", "AIza" + mixed(35)), lambda: ("", "eyJ" + mixed(20) + "." + mixed(40) + "." + mixed(30)),
@@ -240,6 +385,12 @@ def examples(count: int = 240, seed: int = 7) -> list[tuple[str, list[tuple[int,
         lambda: (r.choice(["Authorization: Bearer ", "bearer ", "auth key = ", "secret key: ", "credentials: "]), mixed(r.randint(20, 44))),
         lambda: (r.choice(["", "db = ", "connect to "]), f"postgres://{word()}:{mixed(12)}@db{r.randint(1, 9)}.{word()}.net/x"),
         lambda: ("key " + r.choice(["", "= ", ": "]), mixed(32) + "=" * r.randint(0, 2)),
+        lambda: (r.choice(["password", "passphrase", "pwd"]) + r.choice([" is ", ": ", " = ", " "]), r.choice([mixed_letters, signed])(r.randint(9, 16))),
+        lambda: (r.choice(["password", "passphrase", "pwd", "secret"]) + r.choice([": ", " = "]), some(string.ascii_lowercase, r.randint(10, 16))),
+        lambda: (r.choice(["Authorization: Bearer ", "bearer ", "auth key = ", "secret key: ", "credentials: "]), mixed_letters(r.randint(20, 44))),
+        lambda: (r.choice(["", "db = ", "connect to "]), f"{r.choice(['postgres', 'mysql', 'amqp'])}://{word()}:{mixed_letters(12)}@db.{word()}.net/x"),
+        lambda: (r.choice(["", "key ", "key: "]), r.choice(["ghp_", "sk-", "sk_live_", "hf_", "npm_"]) + mixed_letters(36)),
+        phrase,
     ]
     harmless = [
         lambda: some("0123456789", 16), lambda: f"+1 ({some('0123456789', 3)}) 555-{some('0123456789', 4)}", lambda: f"{word()}.{some('0123456789', 2)}@mail{r.randint(1, 9)}.example.com",
@@ -247,6 +398,10 @@ def examples(count: int = 240, seed: int = 7) -> list[tuple[str, list[tuple[int,
         lambda: "commit " + some(hexes, 20), lambda: f"{some(hexes, 8)}-{some(hexes, 4)}-{some(hexes, 4)}-{some(hexes, 4)}-{some(hexes, 12)}", lambda: word() + word() + some("0123456789", r.randint(1, 4)),
         lambda: f"v{r.randint(1, 9)}.{r.randint(10, 99)}.{r.randint(100, 999)}-rc{r.randint(1, 9)}", lambda: "order " + some("ABCDEFGH0123456789", 10), lambda: f"{r.randint(1, 99)}:{r.randint(10, 59)}:{r.randint(10, 59)}.000",
         lambda: "token count " + some("0123456789", 9), lambda: "key 1234567890", lambda: f"{word()}_{word()}_{r.randint(1, 99)}.html",
+        lambda: r.choice(["the password is ", "the secret of ", "a token for ", "the key to ", "passphrase is ", "key "]) + word(), lambda: some(string.ascii_lowercase + "éèüñç", r.randint(10, 26)), lambda: word() + word().title() + word().title(),
+        lambda: word().title() + word().title(), lambda: word().upper() + r.choice(["", "_" + word().upper()]), lambda: f"https://{word()}.example.com/{word()}/{word()}.html", lambda: f"{word()}.{word()}@{word()}.example.com",
+        lambda: word() + "/" + word() + r.choice(["", "/" + word()]), lambda: f"{word()}-{word()}" + r.choice(["", "-" + word()]), lambda: f"{word()}_{word()}", lambda: '"' + " ".join(word() for _ in range(r.randint(1, 5))) + '"', lambda: word().title() + ", " + word().title() + ": " + word(),
+        lambda: " ".join(r.choice([word(), word().title()]) for _ in range(r.randint(4, 20))) + ".",
     ]
     out = []
     for k in range(count):
@@ -262,6 +417,8 @@ def examples(count: int = 240, seed: int = 7) -> list[tuple[str, list[tuple[int,
             else:
                 text += r.choice(harmless)()
             text += r.choice([" ", ". ", ", ", "\n"]) + " ".join(word() for _ in range(r.randint(1, 5))) + " "
+        if k % 3 == 1:
+            text += prose(r.randint(40, 160))
         if k % 12 == 0:
             body = "\n".join(mixed(40) for _ in range(3))
             spans.append((len(text), 0))
@@ -271,10 +428,10 @@ def examples(count: int = 240, seed: int = 7) -> list[tuple[str, list[tuple[int,
     return out
 
 
-def gold(run: list[tuple[int, int, bool]], spans: list[tuple[int, int]]) -> list[int]:
+def gold(places: list[tuple[int, int, bool]], spans: list[tuple[int, int]]) -> list[int]:
     tags = []
     before = None
-    for a, b, _ in run:
+    for a, b, _ in places:
         span = next(((x, y) for x, y in spans if a < y and x < b), None)
         tags.append(O if span is None else I if span == before else B)
         before = span
@@ -284,15 +441,18 @@ def gold(run: list[tuple[int, int, bool]], spans: list[tuple[int, int]]) -> list
 @functools.cache
 def trained(count: int = 240, seed: int = 7, rounds: int = 60, rate: float = 0.15, decay: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
     """Weights and transitions, by gradient ascent over the examples (Adagrad)."""
-    data = [(run_features(t, run, file_features(t)), gold(run, spans)) for t, spans in examples(count, seed) for run in runs_of(t)]
+    data = [(text_features(text), gold(places_of(text), spans)) for text, spans in examples(count, seed)]
+    size = max(len(tags) for _, tags in data) + 1
+    x, y, there = np.zeros((len(data), size, len(FEATURES))), np.zeros((len(data), size), int), np.zeros((len(data), size), bool)
+    for k, (rows, tags) in enumerate(data):
+        x[k, : len(tags)], y[k, : len(tags)], there[k, : len(tags)] = rows, tags, True
     w, t = np.zeros((len(FEATURES), 3)), np.zeros((3, 3))
     seen_w, seen_t = np.full_like(w, 1e-6), np.full_like(t, 1e-6)
     for _ in range(rounds):
         dw, dt = -decay * len(data) * w, -decay * len(data) * t
-        for x, y in data:
-            a, b = _gradient(x, y, w, t)
-            dw += a
-            dt += b
+        a, b = _gradient(x, y, there, w, t)
+        dw += a
+        dt += b
         seen_w += dw * dw
         seen_t += dt * dt
         w += 10 * rate * dw / np.sqrt(seen_w)
@@ -300,39 +460,42 @@ def trained(count: int = 240, seed: int = 7, rounds: int = 60, rate: float = 0.1
     return w, t
 
 
-def crf_spans(text: str, weights: np.ndarray, transitions: np.ndarray) -> list[tuple[int, int]]:
+def crf_spans(text: str, weights: np.ndarray, transitions: np.ndarray, scorer: Scores | None = None) -> list[tuple[int, int]]:
     """Spans of B I* paths, without quotes and punctuation around them."""
+    scores, t = (scorer or Scores(weights)).of(text), forbid(transitions)
+    tags = [O] * len(scores)
+    for a, b in runs_of(scores, t):
+        tags[a:b] = best_path(scores[a:b], t)
+    if not any(tags):
+        return []
     out = []
-    runs = runs_of(text)
-    whole = file_features(text) if runs else []
-    for run in runs:
-        tags = viterbi(run_features(text, run, whole), weights, transitions)
-        k = 0
-        while k < len(run):
-            if tags[k] == O:
-                k += 1
-                continue
-            j = k + 1
-            while j < len(run) and tags[j] == I:
-                j += 1
-            a, b = run[k][0], run[j - 1][1]
-            if not run[k][2]:
-                while a < b and text[a] in WRAP:
-                    a += 1
-                while a < b and text[b - 1] in WRAP:
-                    b -= 1
-            if a < b:
-                out.append((a, b))
-            k = j
+    places = places_of(text)
+    k = 0
+    while k < len(tags):
+        if tags[k] == O:
+            k += 1
+            continue
+        j = k + 1
+        while j < len(tags) and tags[j] == I:
+            j += 1
+        a, b = places[k][0], places[j - 1][1]
+        if not places[k][2]:
+            while a < b and text[a] in WRAP:
+                a += 1
+            while a < b and text[b - 1] in WRAP:
+                b -= 1
+        if a < b:
+            out.append((a, b))
+        k = j
     return out
 
 
-def all_spans(text: str | None, weights: np.ndarray, transitions: np.ndarray) -> tuple[list, list]:
+def all_spans(text: str | None, weights: np.ndarray, transitions: np.ndarray, scorer: Scores | None = None) -> tuple[list, list]:
     """Base spans, and these with the model's that overlap none of them: (start, kind, end)."""
     if not text:
         return [], []
     base = base_spans(text)
-    more = [(a, 3, b) for a, b in crf_spans(text, weights, transitions) if not any(a < e and s < b for s, _, e in base)]
+    more = [(a, 3, b) for a, b in crf_spans(text, weights, transitions, scorer) if not any(a < e and s < b for s, _, e in base)]
     return base, sorted(base + more)
 
 
@@ -348,8 +511,10 @@ def scanned(df: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     weights, transitions = trained()
 
     def factory():
+        scorer = Scores(weights)
+
         def work(texts):
-            found = [all_spans(t, weights, transitions) for t in texts]
+            found = [all_spans(t, weights, transitions, scorer) for t in texts]
             counts = [pa.array([sum(s[1] == k for s in base) for base, _ in found], pa.int64()) for k in range(3)]
             digests = pa.array([hashlib.sha256(written(base).encode()).hexdigest() for base, _ in found], pa.string())
             return [*counts, digests, pa.array([written(spans) for _, spans in found], pa.string())]
@@ -379,10 +544,12 @@ def secrets_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     new = fresh(docs, "_text")
 
     def factory():
+        scorer = Scores(weights)
+
         def work(texts):
             out = []
             for t in texts:
-                spans = all_spans(t, weights, transitions)[1]
+                spans = all_spans(t, weights, transitions, scorer)[1]
                 out.append(redacted(t, spans) if spans else None)
             return [pa.array(out, pa.string())]
 

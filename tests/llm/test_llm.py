@@ -181,6 +181,39 @@ def test_secrets_base_and_model():
     assert secrets.redacted("ab secret cd", [(3, 0, 9)]) == "ab [SECRET] cd"
 
 
+NO_DIGIT = {
+    "Authorization: Bearer kQzXvTqRzLmNpWaBcDeF then": "kQzXvTqRzLmNpWaBcDeF",
+    "see postgres://user:LettersOnly@host/db there": "LettersOnly",
+    "my passphrase: correct horse battery staple\nnext line": "correct horse battery staple",
+    "passphrase is 'correct horse battery staple' and more": "correct horse battery staple",
+    "the password = hunter!Qxyz now": "hunter!Qxyz",
+}
+
+
+@pytest.mark.parametrize("text", NO_DIGIT)
+def test_secrets_without_digits(text):
+    w, t = secrets.trained()
+    secret = NO_DIGIT[text]
+    assert any(a <= text.index(secret) and text.index(secret) + len(secret) <= b for a, b in secrets.crf_spans(text, w, t))
+
+
+def test_words_are_no_secrets():
+    w, t = secrets.trained()
+    for text in ("the password is required here", "the key to success is simple", prose(5, 400)):
+        assert secrets.crf_spans(text, w, t) == []
+
+
+def test_unvisited_tokens_are_outside_on_the_best_path():
+    w, t = secrets.trained()
+    for text, _ in secrets.examples(60, 3):
+        scores, f = secrets.Scores(w).of(text), secrets.forbid(t)
+        assert np.allclose(scores, secrets.text_features(text) @ w)
+        tags = [0] * len(scores)
+        for a, b in secrets.runs_of(scores, f):
+            tags[a:b] = secrets.best_path(scores[a:b], f)
+        assert tags == secrets.best_path(scores, f)
+
+
 def test_viterbi_is_the_best_path():
     w, t = secrets.trained()
     x = np.random.default_rng(2).integers(0, 2, (5, len(secrets.FEATURES))).astype(float)
