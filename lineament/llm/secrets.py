@@ -93,7 +93,8 @@ AT = {name: i for i, name in enumerate(FEATURES)}
 
 def entropy(s: str) -> float:
     n = len(s)
-    return -sum(c / n * math.log2(c / n) for c in Counter(s).values()) if n else 0.0
+    counts = map(s.count, set(s)) if n < 100 else Counter(s).values()
+    return -sum([c / n * math.log2(c / n) for c in counts]) if n else 0.0
 
 
 def file_features(text: str) -> list[str]:
@@ -109,6 +110,10 @@ def file_features(text: str) -> list[str]:
     return out
 
 
+#: The endings of AROUND, PLAIN and PHRASE that words of small ASCII letters can have.
+KEY_ENDS = ("pass", "password", "passwd", "passphrase", "pwd", "secret", "token", "apikey", "key", "bearer", "credential", "credentials", "authorization", "auth")
+PLAIN_ENDS = ("commit", "sha", "version", "isbn", "order", "invoice", "phone", "id", "serial", "rev")
+PHRASE_ENDS = ("phrase", "mnemonic")
 KEYWORD, JOINS, PLAINS, SHUTS, WORD, OPENS, PHRASES, AHEAD = (1 << k for k in range(8))
 
 
@@ -141,6 +146,11 @@ def profile(token: str) -> tuple[list[int], int]:
     if len(head) > 1 and AROUND.search(head[0][-80:]):
         names.append("inner:keyword")
     end = token[-80:]
+    if word and n < 16 and len(token) <= 40 and core.isascii():
+        key = core.endswith(KEY_ENDS)
+        shut = token[-1] in "\"'`.,;!?)]}"
+        tests = (key, end.endswith((":", "=", "=>", "is")), core.endswith(PLAIN_ENDS), shut, True, opens and not closes, core.endswith(PHRASE_ENDS), key)
+        return [AT[x] for x in names], sum([1 << k for k, found in enumerate(tests) if found])
     tests = (AROUND.search(end), JOIN.search(end), PLAIN.search(end), CLOSES.search(end), word, opens and not closes, PHRASE.search(end), AROUND.search(token[:40]))
     return [AT[x] for x in names], sum(1 << k for k, found in enumerate(tests) if found)
 
@@ -229,17 +239,22 @@ class Scores:
         self.clear()
 
     def clear(self) -> None:
+        #: Row of each token; tokens of the same profile share one.
         self.known: dict[str, int] = {}
+        self.rows: dict[tuple, int] = {}
         self.size = 0
         self.own, self.flags = np.empty((1024, 3)), np.empty(1024, np.int64)
 
     def learn(self, words: set[str]) -> None:
         for w in words:
-            k = len(self.known)
-            if k == len(self.flags):
-                self.own, self.flags = np.concatenate((self.own, np.empty_like(self.own))), np.concatenate((self.flags, np.empty_like(self.flags)))
-            own, self.flags[k] = profile(w)
-            self.own[k] = self.weights[own].sum(axis=0)
+            own, flags = profile(w)
+            key = (flags, *own)
+            k = self.rows.get(key)
+            if k is None:
+                k = self.rows[key] = len(self.rows)
+                if k == len(self.flags):
+                    self.own, self.flags = np.concatenate((self.own, np.empty_like(self.own))), np.concatenate((self.flags, np.empty_like(self.flags)))
+                self.own[k], self.flags[k] = self.weights[own].sum(axis=0), flags
             self.known[w] = k
             self.size += len(w)
 
@@ -490,12 +505,22 @@ def crf_spans(text: str, weights: np.ndarray, transitions: np.ndarray, scorer: S
     return out
 
 
+def outside(text: str, a: int, b: int, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """The parts of a span that no base span covers, without those that are blank."""
+    out = []
+    for s, _, e in base:
+        if a < e and s < b:
+            out.append((a, s))
+            a = max(a, e)
+    return [(x, y) for x, y in [*out, (a, b)] if x < y and not text[x:y].isspace()]
+
+
 def all_spans(text: str | None, weights: np.ndarray, transitions: np.ndarray, scorer: Scores | None = None) -> tuple[list, list]:
-    """Base spans, and these with the model's that overlap none of them: (start, kind, end)."""
+    """Base spans, and these with the parts of the model's that lie outside them: (start, kind, end)."""
     if not text:
         return [], []
     base = base_spans(text)
-    more = [(a, 3, b) for a, b in crf_spans(text, weights, transitions, scorer) if not any(a < e and s < b for s, _, e in base)]
+    more = [(x, 3, y) for a, b in crf_spans(text, weights, transitions, scorer) for x, y in outside(text, a, b, base)]
     return base, sorted(base + more)
 
 

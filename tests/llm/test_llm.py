@@ -197,6 +197,24 @@ def test_secrets_without_digits(text):
     assert any(a <= text.index(secret) and text.index(secret) + len(secret) <= b for a, b in secrets.crf_spans(text, w, t))
 
 
+def test_spans_beside_base_spans_stay():
+    w, t = secrets.trained()
+    text = "the password = Abcd1234xyz!7 ok"
+    assert secrets.redacted(text, secrets.all_spans(text, w, t)[1]) == "the [SECRET][SECRET] ok"
+    block = "-----BEGIN PRIVATE KEY-----\n" + "Abcdefgh12" * 4 + "\n" + "0123456789abcdef" * 2 + "\n" + "Zyxwvuts34" * 4 + "\n-----END PRIVATE KEY-----"
+    base, every = secrets.all_spans(f"see {block} end", w, t)
+    left = secrets.redacted(f"see {block} end", every)
+    assert base and "Abcdefgh12" not in left and "Zyxwvuts34" not in left and left.startswith("see ") and left.endswith(" end")
+
+
+def test_short_words_have_the_flags_of_the_patterns():
+    for word in (*secrets.KEY_ENDS, *secrets.PLAIN_ENDS, *secrets.PHRASE_ENDS, "is", "horse", "mykey", "isx"):
+        for token in (word, word + ":", word + "=", word + '"', '"' + word, word + "),", word + "."):
+            flags = secrets.profile(token)[1]
+            want = (secrets.AROUND.search(token), secrets.JOIN.search(token), secrets.PLAIN.search(token), secrets.CLOSES.search(token))
+            assert [bool(flags >> k & 1) for k in (0, 1, 2, 3, 6, 7)] == [*map(bool, want), bool(secrets.PHRASE.search(token)), bool(want[0])]
+
+
 def test_words_are_no_secrets():
     w, t = secrets.trained()
     for text in ("the password is required here", "the key to success is simple", prose(5, 400)):
