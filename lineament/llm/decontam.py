@@ -2,7 +2,9 @@
 
 Words are runs of letters and digits, lower-cased. A seed looks at five words
 through a fixed mask that ignores the positions between them, so a substituted
-word does not hide a passage. Seeds of the test items and of the documents are
+word does not hide a passage: the masks for an item's length leave no pattern of
+substitutions that ``SIMILARITY`` allows without a seed. Items of five words have
+masks of four, shorter ones (which allow no substitution) are matched whole. Seeds of the test items and of the documents are
 joined on their hash. Around each hit the two texts are laid side by side, and
 the hit counts if, in some window of ``WINDOW`` words (the whole item if it is
 shorter) that holds the seed, at least ``SIMILARITY`` of the words agree.
@@ -13,19 +15,25 @@ row: only hits leave it. Beyond that bound the windows are joined with a
 shuffle; results are the same. No document is read twice, and texts are never
 shuffled.
 
-Null and empty texts and items have no words and no hits; items of fewer words
-than the shorter mask spans are not searched for. Repeated rows of a document
+Null and empty texts and items have no words and no hits. Repeated rows of a document
 give the same pair once. A null doc_id is reported as null.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import fresh, table
 
-MASKS = ((0, 1, 2, 3, 5), (0, 2, 5, 6, 7))
+#: For windows of WINDOW words, for items of six words to WINDOW - 1 besides, of five, and whole.
+LONG = ((0, 1, 2, 3, 5), (0, 2, 5, 6, 7), (0, 1, 3, 4, 5))
+SHORT = ((0, 1, 2, 3, 4), (0, 2, 3, 4, 5), (0, 1, 2, 4, 5))
+FIVE = ((0, 1, 2, 3), (0, 2, 3, 4), (0, 1, 3, 4), (0, 1, 2, 4))
+WHOLE = ((0,), (0, 1), (0, 1, 2), (0, 1, 2, 3))
+MASKS = tuple(dict.fromkeys(LONG + SHORT + FIVE + WHOLE))
 WINDOW = 10
 SIMILARITY = 0.8
 INLINE_SEEDS = 40_000
@@ -46,22 +54,39 @@ def starts(mask: tuple[int, ...], h: str) -> str:
     return f"CASE WHEN size({h}) >= {span} THEN sequence(0, size({h}) - {span}) ELSE CAST(array() AS array<int>) END"
 
 
+def masks_for(words: int) -> tuple[tuple[int, ...], ...]:
+    """The masks that an item of so many words is searched by."""
+    if words < 5:
+        return WHOLE[words - 1 : words]
+    return FIVE if words == 5 else LONG if words >= WINDOW else tuple(m for m in LONG + SHORT if max(m) < words)
+
+
+def lengths_of(mask: tuple[int, ...]) -> list[int]:
+    """The lengths of items that a mask is for; WINDOW stands for it and all above."""
+    return [n for n in range(1, WINDOW + 1) if mask in masks_for(n)]
+
+
 def item_seeds(items: DataFrame, item_id: str, text: str) -> DataFrame:
     """mask, hash, item_id, place of the seed, and the item's words."""
     words = items.select(F.col(item_id).alias("item_id"), word_hashes(F.col(text)).alias("iw"))
     parts = []
     for k, mask in enumerate(MASKS):
-        places = words.select("item_id", "iw", F.explode(F.expr(starts(mask, "iw"))).alias("ip"))
+        meant = words.where(F.least(F.size("iw"), F.lit(WINDOW)).isin(lengths_of(mask)))
+        places = meant.select("item_id", "iw", F.explode(F.expr(starts(mask, "iw"))).alias("ip"))
         parts.append(places.select(F.lit(k).alias("mask"), F.expr(seed(mask, "iw", "ip")).alias("hash"), "item_id", "ip", "iw"))
-    return parts[0].unionByName(parts[1])
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 def document_hits(rows: DataFrame, seeds: DataFrame, inline: int) -> DataFrame:
     """doc_id, key, mask, hash, and around each seed: its place ``at`` in ``near``, a slice of the words' hashes."""
     few = seeds.select("mask", "hash").distinct().limit(inline + 1).collect()
+    # A mask without seeds (no item of its length) costs nothing.
+    used = {r["mask"] for r in (few if len(few) <= inline else seeds.select("mask").distinct().collect())}
     known = rows.select("doc_id", "key", "dw")
     parts = []
     for k, mask in enumerate(MASKS):
+        if k not in used and (used or k):
+            continue
         if len(few) <= inline:
             listed = ", ".join(f"{r.hash}L" if r.hash != -(1 << 63) else "(-9223372036854775807L - 1L)" for r in few if r["mask"] == k)
             test = f"{seed(mask, 'dw', 'i')} IN ({listed})" if listed else "false"
@@ -78,7 +103,7 @@ def document_hits(rows: DataFrame, seeds: DataFrame, inline: int) -> DataFrame:
                 F.slice("dw", first + 1, F.lit(3 * WINDOW)).alias("near"),
             )
         )
-    return parts[0].unionByName(parts[1])
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 def overlaps(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", inline: int = INLINE_SEEDS) -> DataFrame:

@@ -266,6 +266,31 @@ def test_decontamination_finds_substituted_passages_both_ways(spark):
         assert sorted((r.doc_id, r.item_id) for r in found) == [(0, 7), (1, 7)]
 
 
+def test_masks_cover_every_pattern_of_substitutions():
+    for n in range(1, decontam.WINDOW + 1):
+        for wrong in combinations(range(n), n - -int(-(n * 8) // 10)):
+            assert any(not set(wrong) & {o + k for k in m} for m in decontam.masks_for(n) for o in range(n - max(m))), (n, wrong)
+
+
+@pytest.mark.parametrize("inline", [decontam.INLINE_SEEDS, 0])
+def test_decontamination_of_short_items_and_every_fourth_word(spark, inline):
+    items = {n: [f"item{n}w{k}" for k in range(n)] for n in (1, 2, 3, 4, 5, 6, 7, 8, 9, 15)}
+    texts, want = [], set()
+
+    def plant(n, wrong):
+        want.add((len(texts), n))
+        texts.append(" ".join(["before", *("zz" if k in wrong else w for k, w in enumerate(items[n])), "after it"]))
+
+    for n in items:
+        plant(n, ())
+        for k in range(n if 5 <= n < 10 else 0):
+            plant(n, (k,))
+    plant(15, (3, 7, 11))
+    texts.append("before item4w0 item4w1 item4w2 zz item5w0 zz item5w2 zz item5w4")
+    found = decontam.overlaps(docs(spark, texts), spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id long, text string"), inline=inline)
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == want
+
+
 def test_empty_tables(spark):
     none = docs(spark, []).where("false")
     assert simhash.classes(none).count() == 0 and bpe.encoded_digests(none, ["doc_id"]).count() == 0
