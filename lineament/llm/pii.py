@@ -3,16 +3,19 @@
 Values are found by one pattern, validated, and permuted within their format:
 
 * e-mail addresses: the local part, letter for letter and digit for digit;
-* phone numbers: the digits after the country code;
-* card-like numbers of 13 to 19 digits: all digits but the last, which keeps the
-  distance from its Luhn check digit (valid numbers stay valid, others not);
-* numbers NNN-NN-NNNN: the digits;
+* phone numbers of 8 to 15 digits after "+": the digits after the country code;
+  NNN-NNN-NNNN, NNN.NNN.NNNN and (NNN) NNN-NNNN from area 200: among these;
+* card numbers of 13 to 19 digits, together or in the usual groups, whose Luhn
+  check digit is right: all digits but the last, which is made right again;
+* numbers NNN-NN-NNNN in the assigned ranges (area 001 to 899 but not 666, group
+  and serial not zero): within these ranges;
 * IPv4 addresses: the 32 bits, in two halves of 16;
 * dates YYYY-MM-DD from 1800 to 2199: the day among the 146,097 of the cycle.
 
 Each is a permutation under the key and the kind, so equal values get equal
 pseudonyms in every document and different ones differ. What only looks like a
-date stays as it is. All of it is native expressions.
+value (a wrong check digit, an unassigned range, no such day) stays as it is and
+is not counted; no pseudonym falls among what stays. All of it is native expressions.
 
 A null text stays null, an empty one empty. Very long texts are replaced whole.
 Repeated rows and several values in a row are each replaced.
@@ -29,11 +32,16 @@ ROUNDS = 8
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}+){1,8}+",
-    "phone": r"(?<![0-9])\+[0-9]{1,3} ?\([0-9]{3}\) ?[0-9]{3}[- ][0-9]{4}(?![0-9])",
+    "phone": r"(?<![0-9])\+[0-9]{1,3} ?\([0-9]{3}\) ?[0-9]{3}[- ][0-9]{4}(?![0-9])"
+    r"|(?<![0-9A-Za-z_+])\+[1-9][0-9]{0,2}[ .-][0-9](?:[ .-][0-9]{2}){4}(?![0-9])"
+    r"|(?<![0-9A-Za-z_+])\+[1-9][0-9]{0,2}[ .-]\(?[0-9]{1,4}\)?[ .-][0-9]{3,4}(?:[ .-][0-9]{3,4})?(?![0-9])"
+    r"|(?<![0-9A-Za-z_+])\+[1-9][0-9]{7,14}(?![0-9])"
+    r"|(?<![0-9A-Za-z_.+-])(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[-.])[0-9]{3}[-.][0-9]{4}(?![0-9A-Za-z_]|[-.][0-9])",
     "ip": rf"(?<![0-9.]){OCTET}(?:\.{OCTET}){{3}}(?![0-9]|\.[0-9])",
     "date": r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])",
     "national": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "number": r"(?<![A-Za-z0-9_])[0-9]{13,19}(?![A-Za-z0-9_])",
+    "number": r"(?<![A-Za-z0-9_])[0-9]{13,19}(?![A-Za-z0-9_])"
+    r"|(?<![A-Za-z0-9_-])[0-9]{4}(?:(?: [0-9]{4}){3}(?: [0-9]{3})?|(?:-[0-9]{4}){3}(?:-[0-9]{3})?|[ -][0-9]{6}[ -][0-9]{5})(?![A-Za-z0-9_]|-[0-9])",
 }
 ANY = "|".join(PATTERNS.values())
 KINDS = tuple(PATTERNS)
@@ -95,6 +103,28 @@ def check_digit(s: str) -> str:
     )
 
 
+def digits(m: str) -> str:
+    return f"regexp_replace({m}, '[^0-9]', '')"
+
+
+def laid(m: str, d: str) -> str:
+    """The digits ``d`` in the layout of ``m``."""
+    place = f"length({digits(f'substring({m}, 1, j)')})"
+    return f"array_join(transform(sequence(1, length({m})), j -> IF(substring({m}, j, 1) BETWEEN '0' AND '9', substring({d}, {place}, 1), substring({m}, j, 1))), '')"
+
+
+def valid(m: str) -> str:
+    """True if the match is a value of its kind."""
+    part = lambda i: f"int(split({m}, '-')[{i}])"
+    d = digits(m)
+    return (
+        f"CASE {kind_of(m)} WHEN 'phone' THEN length({d}) BETWEEN 8 AND 15 "
+        f"WHEN 'date' THEN coalesce(datediff(try_cast({m} AS DATE), DATE'1800-01-01') BETWEEN 0 AND 146096, false) "
+        f"WHEN 'national' THEN {part(0)} BETWEEN 1 AND 899 AND {part(0)} <> 666 AND {part(1)} > 0 AND {part(2)} > 0 "
+        f"WHEN 'number' THEN exists(array({d}), d -> {check_digit('substring(d, 1, length(d) - 1)')} = int(substring(d, -1, 1))) ELSE true END"
+    )
+
+
 def pseudonym(key: str, m: str = "m") -> str:
     """The pseudonym of one match."""
     days = f"datediff(try_cast({m} AS DATE), DATE'1800-01-01')"
@@ -102,22 +132,33 @@ def pseudonym(key: str, m: str = "m") -> str:
     octet = lambda i: f"int(split({m}, '[.]')[{i}])"
     halves = two_halves(key, "ip", f"{octet(0)} * 256 + {octet(1)}", f"{octet(2)} * 256 + {octet(3)}", 65536, 65536)
     address = f"transform(array({halves}), d -> concat_ws('.', int(d.a / 256), int(d.a % 256), int(d.b / 256), int(d.b % 256)))[0]"
-    payload = f"substring({m}, 1, length({m}) - 1)"
-    number = f"transform(array({characters(key, 'number', payload)}), p -> concat(p, pmod({check_digit('p')} + int(substring({m}, -1, 1)) - {check_digit(payload)}, 10)))[0]"
+    payload = f"substring({digits(m)}, 1, length({digits(m)}) - 1)"
+    number = f"transform(transform(array({characters(key, 'number', payload)}), p -> concat(p, {check_digit('p')})), d -> {laid(m, 'd')})[0]"
+    part = lambda i: f"int(split({m}, '-')[{i}])"
+    # Areas 1 to 899 without 666 are 898, each with 99 groups of 9,999 serials.
+    place = f"({part(0)} - 1 - IF({part(0)} > 666, 1, 0)) * 99 + {part(1)} - 1"
+    national = (
+        f"transform(array({two_halves(key, 'national', place, f'{part(2)} - 1', 898 * 99, 9999)}), d -> concat_ws('-', "
+        f"lpad(string(int(d.a / 99) + 1 + IF(int(d.a / 99) >= 665, 1, 0)), 3, '0'), lpad(string(d.a % 99 + 1), 2, '0'), lpad(string(d.b + 1), 4, '0')))[0]"
+    )
+    local = (
+        f"transform(transform(array({two_halves(key, 'local', f'int(substring({digits(m)}, 1, 3)) - 200', f'int(substring({digits(m)}, 4))', 800, 10**7)}), "
+        f"d -> concat(string(d.a + 200), lpad(string(d.b), 7, '0'))), d -> {laid(m, 'd')})[0]"
+    )
     code = f"regexp_extract({m}, '^[+][0-9]{{1,3}}', 0)"
     phone = f"concat({code}, {characters(key, 'phone', f'substring({m}, length({code}) + 1)')})"
     email = f"concat({characters(key, 'email', f'substring_index({m}, {quoted('@')}, 1)')}, '@', substring_index({m}, '@', -1))"
     return (
-        f"CASE {kind_of(m)} WHEN 'email' THEN {email} WHEN 'phone' THEN {phone} WHEN 'ip' THEN {address} "
-        f"WHEN 'date' THEN CASE WHEN {days} BETWEEN 0 AND 146096 THEN {date} ELSE {m} END "
-        f"WHEN 'national' THEN {characters(key, 'national', m)} ELSE {number} END"
+        f"CASE WHEN NOT {valid(m)} THEN {m} ELSE CASE {kind_of(m)} WHEN 'email' THEN {email} "
+        f"WHEN 'phone' THEN IF(startswith({m}, '+'), {phone}, {local}) WHEN 'ip' THEN {address} "
+        f"WHEN 'date' THEN {date} WHEN 'national' THEN {national} ELSE {number} END END"
     )
 
 
 def kind_of(m: str) -> str:
     return (
-        f"CASE WHEN instr({m}, '@') > 0 THEN 'email' WHEN startswith({m}, '+') THEN 'phone' WHEN instr({m}, '.') > 0 THEN 'ip' "
-        f"WHEN substring({m}, 5, 1) = '-' THEN 'date' WHEN substring({m}, 4, 1) = '-' THEN 'national' ELSE 'number' END"
+        f"CASE WHEN instr({m}, '@') > 0 THEN 'email' WHEN {m} RLIKE '^[+(]|^[0-9]{{3}}[-.][0-9]{{3}}[-.][0-9]{{4}}$' THEN 'phone' WHEN instr({m}, '.') > 0 THEN 'ip' "
+        f"WHEN length({m}) = 10 AND substring({m}, 5, 1) = '-' THEN 'date' WHEN substring({m}, 4, 1) = '-' THEN 'national' ELSE 'number' END"
     )
 
 
@@ -126,7 +167,7 @@ def pseudonymised(df: DataFrame, keep: list[str], key: str, text: str = "text",
 
     Texts without a digit and without "@" cannot match and skip the pattern.
     """
-    may = F.col(text).rlike("[0-9][0-9-][0-9-]|@|[0-9][.][0-9]")
+    may = F.col(text).rlike("[0-9][0-9-][0-9-]|@|[0-9][.][0-9]|[+][0-9]|[0-9] [0-9]")
     found = F.when(may, F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
     rows = df.select(*keep, F.col(text).alias("_t"), found.alias("_m"))
     new = F.expr(f"transform(_m, m -> {pseudonym(key)})")
@@ -135,7 +176,7 @@ def pseudonymised(df: DataFrame, keep: list[str], key: str, text: str = "text",
     return rows.select(
         *keep,
         F.when(F.size("_m") > 0, glued).otherwise(F.col("_t")).alias(out),
-        *[F.coalesce(F.expr(f"size(filter(_m, m -> {kind_of('m')} = '{k}'))"), F.lit(0)).cast("long").alias(f"n_{k}") for k in KINDS],
+        *[F.coalesce(F.expr(f"size(filter(_m, m -> {kind_of('m')} = '{k}' AND {valid('m')}))"), F.lit(0)).cast("long").alias(f"n_{k}") for k in KINDS],
     )
 
 

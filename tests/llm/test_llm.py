@@ -116,6 +116,20 @@ def test_pseudonyms_are_permutations(spark):
     assert pii.pseudonymised(days, ["doc_id"], "k").select("text").distinct().count() == 3000
 
 
+def test_pseudonyms_only_of_valid_values_in_every_layout(spark):
+    keep = ["4111111111111112", "1700000000000", "666-45-6789", "900-12-3456", "000-12-3456", "123-00-4567", "123-45-0000", "4111 1111 1111 1112"]
+    change = ["4111111111111111", "4111 1111 1111 1111", "4111-1111-1111-1111", "3782 822463 10005", "+44 20 7946 0958", "+33 1 23 45 67 89", "+442079460958", "555-123-4567", "555.123.4567", "(555) 123-4567", "123-45-6789", "+1 (900) 555-2077"]
+    rows = {r.doc_id: r for r in pii.pseudonymised(docs(spark, [f"see {x}, then" for x in keep + change]), ["doc_id"], "k").collect()}
+    assert [rows[i].text for i in range(len(keep))] == [f"see {x}, then" for x in keep]
+    for i, x in enumerate(change, len(keep)):
+        assert rows[i].text != f"see {x}, then" and re.sub("[0-9]", "9", rows[i].text) == re.sub("[0-9]", "9", f"see {x}, then"), x
+        assert sum(rows[i][f"n_{k}"] for k in pii.KINDS) == 1, x
+    card = [re.sub("[^0-9]", "", rows[len(keep) + i].text) for i in range(3)]
+    assert len(set(card)) == 1
+    national = spark.range(3000).selectExpr("id AS doc_id", "concat(lpad(string(id % 899 + 1), 3, '0'), '-', lpad(string(id % 99 + 1), 2, '0'), '-', lpad(string(id + 1), 4, '0')) AS text")
+    assert pii.pseudonymised(national, ["doc_id"], "k").select("text").distinct().count() == 3000
+
+
 def test_pu_classifier_separates_held_out_rows():
     good = [prose(i, 120) for i in range(300)]
     bad = [" ".join(w + "###" for w in prose(i, 120).split()) for i in range(80)]
