@@ -248,9 +248,10 @@ def fingerprinted(df: DataFrame, keep: list[str], text: str = "text", name: str
     return enrich(df, text, factory, [StructField(name, LongType())], keep)
 
 
-def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """doc_id, fp and component_id of every row."""
-    prints = Cut(fingerprinted(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), ["doc_id"]), "simhash-prints")
+def classed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """doc_id, key (of the text), fp, component_id and root (a fingerprint) of every row."""
+    named = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("key"))
+    prints = Cut(fingerprinted(named, ["doc_id", "key"]), "simhash-prints")
     distinct = prints.df.groupBy("fp").agg(F.min("doc_id").alias("least"))
     edges, cuts = links(distinct.select("fp"), bucket_rows)
     roots, more = components(edges)
@@ -258,10 +259,15 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bucket_
         cut.drop()
     rooted = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = Cut(rooted.join(least, "root").select("fp", "component_id"), "simhash-classes")
+    named = Cut(rooted.join(least, "root").select("fp", "component_id", "root"), "simhash-classes")
     for cut in more:
         cut.drop()
-    return prints.df.join(named.df, "fp").select("doc_id", "fp", "component_id")
+    return prints.df.join(named.df, "fp").select("doc_id", "key", "fp", "component_id", "root")
+
+
+def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """doc_id, fp and component_id of every row."""
+    return classed(docs, doc_id, text, bucket_rows).select("doc_id", "fp", "component_id")
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
@@ -271,12 +277,13 @@ def op2(spark, sf_dir: str) -> DataFrame:
 
 def dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each component: the one with the smallest doc_id (of equal ids, the
-    least text); rows without doc_id are each kept, having no name to be chosen by."""
-    found = classes(docs).where("doc_id = component_id").select("doc_id").distinct()
-    key, row = fresh(docs, "_key"), fresh(docs, "_row")
-    kept = found.select(F.col("doc_id").alias(key))
-    rows = docs.join(kept, F.col("doc_id").cast("long") == F.col(key))
+    least hash of the text); rows without doc_id come last."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key")).alias("first")
+    found = classed(docs).groupBy("root").agg(first)
+    a, b, row = fresh(docs, "_id"), fresh(docs, "_key"), fresh(docs, "_row")
+    kept = found.select(F.col("first.doc_id").alias(a), F.col("first.key").alias(b))
+    # Equal texts have one class, so no (doc_id, text) is chosen twice.
+    rows = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col(a)) & (F.xxhash64("text") == F.col(b)))
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    once = rows.groupBy(key).agg(F.min_by(whole, F.coalesce("text", F.lit(""))).alias(row))
-    one = once.select(*[F.col(f"`{row}`.`{c}`").alias(c) for c in docs.columns])
-    return one.unionByName(docs.where(F.col("doc_id").isNull()))
+    once = rows.groupBy(a, b).agg(F.min_by(whole, F.coalesce("text", F.lit(""))).alias(row))
+    return once.select(*[F.col(f"`{row}`.`{c}`").alias(c) for c in docs.columns])

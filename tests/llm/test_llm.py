@@ -82,6 +82,13 @@ def test_dedup_keeps_one_row_of_a_group(spark):
     assert sorted(r.doc_id for r in out) == [0, 4] and out[0].asDict().keys() == {"doc_id", "text", "lang", "source", "n_chars"}
 
 
+def test_dedup_chooses_rows_where_ids_repeat_or_lack(spark):
+    a, b, c = prose(3, 90), prose(4, 90), prose(6, 90)
+    rows = [(1, a), (5, a), (5, b), (5, b), (None, c), (None, c), (None, a)]
+    out = simhash.dedup_stage(spark, spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], DOCS), "").collect()
+    assert sorted((r.doc_id or 0, r.text) for r in out) == sorted([(1, a), (5, b), (0, c)])
+
+
 def test_quality_measures_by_brute_force(spark):
     texts = [None, "", "  \n", "a b c a b c", prose(2, 200), "x # & |\nx\nx # & |", "WORD!! " * 80]
     for t in texts:
