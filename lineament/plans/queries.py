@@ -322,7 +322,7 @@ def merkle_dirs(spark, d):
 
 
 def turn_units(spark, d):
-    return read(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("unit_id"), F.lit(None).cast("string").alias("path"), F.col("text").alias("source"))
+    return read(spark, d, "conversations").select(F.struct(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn")).alias("unit_id"), F.lit(None).cast("string").alias("path"), F.col("text").alias("source"))
 
 
 TURN_SQL = "SELECT conv_id * 1000 + turn AS unit_id, CAST(NULL AS VARCHAR) AS path, text AS source FROM conversations"
@@ -331,7 +331,7 @@ _TURNS = verdict_query(TURN_SQL, ("rust",))
 
 def turn_verdicts(spark, d):
     v = at.attributed(detect.signals(turn_units(spark, d), languages=("rust",)))
-    return v.select(F.floor(F.col("unit_id") / 1000).alias("path"), (F.col("unit_id") % 1000).alias("turn"), "primary", "confidence")
+    return v.select(F.col("unit_id.conv_id").alias("path"), F.col("unit_id.turn").alias("turn"), "primary", "confidence")
 
 
 @register("history_delta", f"{_TURNS}, h AS (SELECT unit_id // 1000 AS path, unit_id % 1000 AS turn, primary_family AS p, confidence AS c, lag(primary_family) OVER w AS np, lag(confidence) OVER w AS nc, row_number() OVER w AS k FROM v WINDOW w AS (PARTITION BY unit_id // 1000 ORDER BY unit_id % 1000 DESC)) SELECT path, turn, p AS \"primary\", c AS confidence, CASE WHEN np IS NULL THEN '' WHEN np <> p THEN np || ' to ' || p WHEN abs(round(c - nc, 6)) < 0.005 THEN 'same' WHEN c > nc THEN 'up' ELSE 'down' END AS change FROM h WHERE k <= 20")

@@ -81,3 +81,13 @@ def test_merkle_changes_propagate(spark):
 def test_cooldown_drops_saves(spark):
     events = spark.createDataFrame([(1, 0), (1, 1000), (1, 2000), (1, 3999), (1, 4000), (2, 5)], "path long, ms long")
     assert sorted(tuple(r) for r in watch.cooled(events).collect()) == [(1, 0), (1, 2000), (1, 4000), (2, 5)]
+
+
+def test_long_conversations_keep_their_turns(spark, tmp_path):
+    from lineament.plans.queries import QUERIES
+
+    rows = [(1, 0, "user", "a"), (1, 1000, "user", "b"), (2, 0, "user", "c"), (2, 2001, "user", "d")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = QUERIES["history_delta"](spark, str(tmp_path)).collect()
+    assert sorted((r.path, r.turn) for r in got) == [(1, 0), (1, 1000), (2, 0), (2, 2001)]
+    assert sorted((r.turn, r.units) for r in QUERIES["trend_series"](spark, str(tmp_path)).collect()) == [(0, 2), (1000, 1), (2001, 1)]
