@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from pathlib import Path
+from typing import ClassVar
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType
 
-#: Rows in an Arrow batch; texts may be very long, so batches are short.
+#: Rows that become Python objects at once; texts may be very long, so these are few.
+#: (An Arrow batch has more, bounded in bytes by spark.sql.execution.arrow.maxBytesPerBatch.)
 BATCH_ROWS = 256
 
 
@@ -39,37 +43,82 @@ def ship(spark: SparkSession) -> None:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder for cut lineage; a temporary one only where none is named."""
+    """The shared folder for cut lineage: spark.checkpoint.dir.
+
+    Where it is unset, a temporary folder serves a local master, whose executors
+    are this machine; on a cluster they would each write to their own disk, so
+    that is an error.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     sc = spark.sparkContext
+    if sc.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not getattr(sc, "_lineament_scratch", None):
         sc._lineament_scratch = "file://" + tempfile.mkdtemp(prefix="lineament-scratch-")
     return sc._lineament_scratch
 
 
 class Cut:
-    """A table written to the shared folder and read again; ``drop`` removes it."""
+    """A table written to the shared folder and read again.
+
+    ``drop`` removes it. Frames that are returned to a caller read theirs whenever
+    they run, so what is left is removed at the end of the program.
+    """
+
+    left: ClassVar[dict[str, Cut]] = {}
 
     def __init__(self, df: DataFrame, name: str):
         self.spark = df.sparkSession
         self.path = f"{scratch(self.spark)}/{name}-{uuid.uuid4().hex}"
+        Cut.left[self.path] = self
         df.write.parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:
+        Cut.left.pop(self.path, None)
         jvm = self.spark._jvm
         path = jvm.org.apache.hadoop.fs.Path(self.path)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@atexit.register
+def _drop_left() -> None:
+    for cut in list(Cut.left.values()):
+        # A session that has been stopped has no file system any more.
+        with contextlib.suppress(Exception):
+            cut.drop()
+
+
+def free(taken: Iterable[str], names: Iterable[str]) -> list[str]:
+    """The names, each with as many underscores before it as keep it apart from
+    ``taken`` and from those before it (Spark compares without case)."""
+    used = {c.lower() for c in taken}
+    out = []
+    for name in names:
+        while name.lower() in used:
+            name = f"_{name}"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
 def fresh(df: DataFrame, name: str) -> str:
-    """A column name that the frame does not have (Spark compares without case)."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name = f"_{name}"
-    return name
+    """A column name that the frame does not have."""
+    return free(df.columns, [name])[0]
+
+
+def named(column: str) -> Column:
+    """A column by its exact name, dots and all."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def slices(batches: Iterable[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``rows``."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def enrich(
@@ -83,23 +132,24 @@ def enrich(
 
     ``factory`` runs once a task and returns a function from a list of values to
     one Arrow array a field. Rows stay in their partitions: nothing is shuffled,
-    and a task holds one batch of ``BATCH_ROWS`` rows at a time.
+    and a task holds the Python objects of ``BATCH_ROWS`` rows at a time. A field
+    whose name is kept already is renamed as ``free`` does.
     """
     spark = df.sparkSession
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    schema = StructType([*(df.schema[k] for k in keep), *fields])
+    kept = df.select(*map(named, keep))
+    inner = [StructField(f"c{i}", f.dataType, True) for i, f in enumerate([*kept.schema, *fields])]
+    schema, count = StructType(inner), len(kept.columns)
     arrow = to_arrow_schema(schema)
-    wanted = list(keep) if column in keep else [*keep, column]
-    at, count = wanted.index(column), len(keep)
 
     def run(batches):
         work = factory()
-        for batch in batches:
-            made = work(batch.column(at).to_pylist())
+        for batch in slices(batches):
+            made = work(batch.column(count).to_pylist())
             columns = [batch.column(i) for i in range(count)]
             yield pa.RecordBatch.from_arrays(
                 [x if x.type == f.type else x.cast(f.type) for x, f in zip([*columns, *made], arrow)], schema=arrow
             )
 
-    return df.select(*[F.col(f"`{c}`") for c in wanted]).mapInArrow(run, schema)
+    given = df.select(*[named(c).alias(f"c{i}") for i, c in enumerate(keep)], named(column).alias(f"c{count}"))
+    return given.mapInArrow(run, schema).toDF(*keep, *free(keep, [f.name for f in fields]))
