@@ -9,14 +9,21 @@ Emission features are the token's shape, the words beside it, and features of
 the whole file. A token's own score is remembered by its characters; what lies
 beside it is a number of bits that indexes a table of scores.
 Weights are fitted here, by exact gradients of the
-conditional likelihood, on sentences made by a seeded rule (``examples``).
+conditional likelihood, on sentences made by a seeded rule (``examples``) and on
+windows of documents of the training folds (``weak_windows``), where the values of
+the base patterns' matches stand for secrets. No feature tells what a base pattern
+matched. At most ``MOST_LOOKED_AT`` documents are looked at for these windows and
+``MOST_WINDOWS`` of them with a secret and as many without are learnt from.
 
 Null and empty texts have no spans. Repeated rows are scanned each by itself,
-very long texts whole.
+very long texts whole. A private key whose end mark is missing ends with its last
+line of base64. Rows with a null doc_id are scanned and never learnt from. An empty
+table teaches nothing beyond the sentences and gives no rows.
 """
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
 import math
@@ -31,14 +38,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField
 
-from .shared import enrich, fresh, table
+from .shared import enrich, fresh, named, table
 
 KINDS = ("assign", "access", "hex", "crf")
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
-BLOCK = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----.*?(?:-----END [A-Z ]*PRIVATE KEY-----|\Z)", re.S)
+KEY_BEGINS = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----")
+KEY_ENDS_AT = re.compile(r"-----END [A-Z ]*PRIVATE KEY-----")
+KEY_BODY = re.compile(r"(?:\s+[A-Za-z0-9+/=]{16,}(?!\S))*")
 WRAP = "\"'`,;:.!?()[]{}<>*#$%&|"
 O, B, I = range(3)
 
@@ -181,12 +190,24 @@ def context(flags: np.ndarray, starts: np.ndarray, inside: np.ndarray) -> np.nda
     return out
 
 
+def key_blocks(text: str) -> list[tuple[int, int]]:
+    """Private keys: to the next end mark, or else as far as their base64 goes."""
+    ends = [m.end() for m in KEY_ENDS_AT.finditer(text)]
+    out, at = [], 0
+    for m in KEY_BEGINS.finditer(text):
+        if m.start() >= at:
+            k = bisect.bisect_left(ends, m.end())
+            at = ends[k] if k < len(ends) else KEY_BODY.match(text, m.end()).end()
+            out.append((m.start(), at))
+    return out
+
+
 def pieces_of(text: str) -> list[tuple[int, int, bool]]:
     """Lines, cut at the edges of private-key blocks: (start, end, inside a block)."""
     edges, at = [], 0
-    for m in BLOCK.finditer(text) if "-----BEGIN" in text else ():
-        edges += [(at, m.start(), False), (m.start(), m.end(), True)]
-        at = m.end()
+    for start, end in key_blocks(text) if "-----BEGIN" in text else ():
+        edges += [(at, start, False), (start, end, True)]
+        at = end
     out = []
     for a, b, inside in [*edges, (at, len(text), False)]:
         for line in text[a:b].split("\n"):
@@ -227,6 +248,27 @@ def text_features(text: str) -> np.ndarray:
     return x
 
 
+VOWELS = "aeiouy"
+
+
+def brief(token: str, core: str) -> int | None:
+    """One number for all of ``profile`` where the core is a short word of small
+    letters, as most are; None for other tokens. Equal numbers have equal profiles."""
+    n = len(core)
+    if n > 11 or len(token) > 40 or not core.isalpha() or not core.islower():
+        return None
+    different = len(set(core))
+    # Five letters cannot reach an entropy of 2.5, nor can eight of eleven be below.
+    high = different > 7 or (different > 5 and entropy(core) >= 2.5)
+    few = n > 7 and core.isascii() and 5 * sum(map(core.count, VOWELS)) < n
+    code = high | few << 1 | core.endswith(KEY_ENDS) << 2 | core.endswith(PLAIN_ENDS) << 3 | core.endswith(PHRASE_ENDS) << 4
+    if token == core:
+        return code | token.endswith("is") << 5
+    opens, closes = token[0] in "\"'`", token.rstrip(".,;:!?)")[-1:] in ("\"", "'", "`")
+    joins = token.endswith((":", "=", "=>", "is"))
+    return code | joins << 5 | (token[-1] in "\"'`.,;!?)]}") << 6 | (opens and not closes) << 7 | (closes and not opens) << 8 | core.isascii() << 9 | 1 << 10
+
+
 class Scores:
     """Emission scores of texts; scores of tokens are kept while they take little memory."""
 
@@ -242,27 +284,37 @@ class Scores:
         #: Row of each token; tokens of the same profile share one.
         self.known: dict[str, int] = {}
         self.rows: dict[tuple, int] = {}
+        self.briefs: dict[int, int] = {}
         self.size = 0
         self.own, self.flags = np.empty((1024, 3)), np.empty(1024, np.int64)
 
+    def row(self, token: str) -> int:
+        own, flags = profile(token)
+        key = (flags, *own)
+        k = self.rows.get(key)
+        if k is None:
+            k = self.rows[key] = len(self.rows)
+            if k == len(self.flags):
+                self.own, self.flags = np.concatenate((self.own, np.empty_like(self.own))), np.concatenate((self.flags, np.empty_like(self.flags)))
+            self.own[k], self.flags[k] = self.weights[own].sum(axis=0), flags
+        return k
+
     def learn(self, words: set[str]) -> None:
+        briefs, known = self.briefs, self.known
         for w in words:
-            own, flags = profile(w)
-            key = (flags, *own)
-            k = self.rows.get(key)
-            if k is None:
-                k = self.rows[key] = len(self.rows)
-                if k == len(self.flags):
-                    self.own, self.flags = np.concatenate((self.own, np.empty_like(self.own))), np.concatenate((self.flags, np.empty_like(self.flags)))
-                self.own[k], self.flags[k] = self.weights[own].sum(axis=0), flags
-            self.known[w] = k
-            self.size += len(w)
+            code = brief(w, w.strip(WRAP))
+            if code is None:
+                k = self.row(w)
+            elif (k := briefs.get(code)) is None:
+                k = briefs[code] = self.row(w)
+            known[w] = k
+        self.size += sum(map(len, words))
 
     def of(self, text: str) -> np.ndarray:
         words, starts, inside = tokens_of(text)
         if len(self.known) > self.ROWS or self.size > self.CHARACTERS:
             self.clear()
-        self.learn({w for w in words if w not in self.known})
+        self.learn(set(words).difference(self.known))
         ids = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
         whole = self.weights[[AT[f] for f in file_features(text)]].sum(axis=0)
         return self.own[ids] + self.beside[context(self.flags[ids], starts, inside)] + whole
@@ -453,21 +505,76 @@ def gold(places: list[tuple[int, int, bool]], spans: list[tuple[int, int]]) -> l
     return tags
 
 
-@functools.cache
-def trained(count: int = 240, seed: int = 7, rounds: int = 60, rate: float = 0.15, decay: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and transitions, by gradient ascent over the examples (Adagrad)."""
-    data = [(text_features(text), gold(places_of(text), spans)) for text, spans in examples(count, seed)]
-    size = max(len(tags) for _, tags in data) + 1
-    x, y, there = np.zeros((len(data), size, len(FEATURES))), np.zeros((len(data), size), int), np.zeros((len(data), size), bool)
-    for k, (rows, tags) in enumerate(data):
-        x[k, : len(tags)], y[k, : len(tags)], there[k, : len(tags)] = rows, tags, True
+#: Bounds of what is learnt from documents: ids looked at, windows of each kind, and
+#: a window's tokens on either side and characters.
+MOST_LOOKED_AT, MOST_WINDOWS, BESIDE, MOST_CHARACTERS = 20_000, 300, 16, 4000
+
+
+def values_of(text: str) -> list[tuple[int, int]]:
+    """What the base patterns hold to be secret: values without their keywords."""
+    found = [(m.start(2), m.end(2)) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 8]
+    found += [(m.start(), m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 16]
+    return sorted(found + [(m.start(), m.end()) for m in HEX.finditer(text)])
+
+
+def window_of(text: str | None) -> tuple[str, list[tuple[int, int]]] | None:
+    """The first value of a text, or its middle, with the tokens beside it."""
+    if not text or "PRIVATE KEY-----" in text:
+        return None
+    places, values = [(m.start(), m.end()) for m in re.finditer(r"\S+", text)], values_of(text)
+    if not places:
+        return None
+    k = bisect.bisect_right(places, (values[0][0], len(text))) - 1 if values else len(places) // 2
+    a, b = places[max(0, k - BESIDE)][0], places[min(len(places) - 1, k + BESIDE)][1]
+    return (text[a:b], [(x - a, y - a) for x, y in values if a <= x and y <= b]) if b - a <= MOST_CHARACTERS else None
+
+
+def weak_windows(docs: DataFrame, looked_at: int = MOST_LOOKED_AT, most: int = MOST_WINDOWS) -> list[tuple[str, list[tuple[int, int]]]]:
+    """Windows of documents of the training folds with the spans of base values.
+
+    One top-k of ids (by a keyed hash), then one pass that reads their texts: at most
+    ``looked_at`` short rows reach the driver, whatever ids repeat."""
+    order = F.xxhash64("doc_id", F.lit("field"))
+    ids = docs.where(F.col("doc_id").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 5 != 0)).select("doc_id")
+    chosen = ids.distinct().orderBy(order, "doc_id").limit(looked_at)
+    # At most ``looked_at`` numbers: safe to broadcast.
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
+
+    def factory():
+        def work(values):
+            found = [window_of(t) for t in values]
+            return [pa.array([w and w[0] for w in found], pa.string()), pa.array([w and [x for span in w[1] for x in span] for w in found], pa.list_(pa.int64()))]
+
+        return work
+
+    fields = [StructField("window", StringType()), StructField("spans", ArrayType(LongType()))]
+    rows = enrich(texts.select("text", order.alias("h")), "text", factory, fields, ["h"]).where("window IS NOT NULL AND (size(spans) > 0 OR pmod(h, 16) = 0)").collect()
+    rows.sort(key=lambda r: (r.h, r.window))
+    with_secret, without = [r for r in rows if r.spans][:most], [r for r in rows if not r.spans][:most]
+    return [(r.window, list(zip(r.spans[::2], r.spans[1::2]))) for r in with_secret + without]
+
+
+def fit(data: list[tuple[str, list[tuple[int, int]]]], rounds: int = 60, rate: float = 0.15, decay: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and transitions, by gradient ascent over texts with the spans of their secrets (Adagrad)."""
+    tagged = [(text_features(text), gold(places_of(text), spans)) for text, spans in data]
+    tagged = [x for x in tagged if x[1]]
+    groups = []
+    # Short and long texts apart: each group is filled up to its longest.
+    for some in ([x for x in tagged if len(x[1]) <= 2 * BESIDE + 1], [x for x in tagged if len(x[1]) > 2 * BESIDE + 1]):
+        size = max((len(tags) for _, tags in some), default=0) + 1
+        x, y, there = np.zeros((len(some), size, len(FEATURES))), np.zeros((len(some), size), int), np.zeros((len(some), size), bool)
+        for k, (rows, tags) in enumerate(some):
+            x[k, : len(tags)], y[k, : len(tags)], there[k, : len(tags)] = rows, tags, True
+        if some:
+            groups.append((x, y, there))
     w, t = np.zeros((len(FEATURES), 3)), np.zeros((3, 3))
     seen_w, seen_t = np.full_like(w, 1e-6), np.full_like(t, 1e-6)
     for _ in range(rounds):
         dw, dt = -decay * len(data) * w, -decay * len(data) * t
-        a, b = _gradient(x, y, there, w, t)
-        dw += a
-        dt += b
+        for x, y, there in groups:
+            a, b = _gradient(x, y, there, w, t)
+            dw += a
+            dt += b
         seen_w += dw * dw
         seen_t += dt * dt
         w += 10 * rate * dw / np.sqrt(seen_w)
@@ -475,6 +582,18 @@ def trained(count: int = 240, seed: int = 7, rounds: int = 60, rate: float = 0.1
     return w, t
 
 
+@functools.cache
+def trained(count: int = 240, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and transitions from the made sentences alone."""
+    return fit(examples(count, seed))
+
+
+def learnt(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and transitions from the made sentences and the documents' windows."""
+    windows = weak_windows(docs)
+    return fit(examples() + windows) if windows else trained()
+
+
 def crf_spans(text: str, weights: np.ndarray, transitions: np.ndarray, scorer: Scores | None = None) -> list[tuple[int, int]]:
     """Spans of B I* paths, without quotes and punctuation around them."""
     scores, t = (scorer or Scores(weights)).of(text), forbid(transitions)
@@ -505,11 +624,24 @@ def crf_spans(text: str, weights: np.ndarray, transitions: np.ndarray, scorer: S
     return out
 
 
-def outside(text: str, a: int, b: int, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """The parts of a span that no base span covers, without those that are blank."""
+def disjoint(spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """The union of (start, kind, end), sorted by start, as intervals that do not overlap."""
+    out: list[tuple[int, int]] = []
+    for a, _, b in spans:
+        if out and a <= out[-1][1]:
+            out[-1] = out[-1][0], max(b, out[-1][1])
+        else:
+            out.append((a, b))
+    return out
+
+
+def outside(text: str, a: int, b: int, covered: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The parts of a span that no covered interval holds, without those that are blank."""
     out = []
-    for s, _, e in base:
-        if a < e and s < b:
+    for s, e in covered[max(0, bisect.bisect_left(covered, (a, a)) - 1) :]:
+        if s >= b:
+            break
+        if a < e:
             out.append((a, s))
             a = max(a, e)
     return [(x, y) for x, y in [*out, (a, b)] if x < y and not text[x:y].isspace()]
@@ -520,7 +652,8 @@ def all_spans(text: str | None, weights: np.ndarray, transitions: np.ndarray, sc
     if not text:
         return [], []
     base = base_spans(text)
-    more = [(x, 3, y) for a, b in crf_spans(text, weights, transitions, scorer) for x, y in outside(text, a, b, base)]
+    covered = disjoint(base)
+    more = [(x, 3, y) for a, b in crf_spans(text, weights, transitions, scorer) for x, y in outside(text, a, b, covered)]
     return base, sorted(base + more)
 
 
@@ -531,9 +664,10 @@ def written(spans: list[tuple[int, int, int]]) -> str:
 FIELDS = [*(StructField(f"n_{k}", LongType()) for k in KINDS[:3]), StructField("base_sha256", StringType()), StructField("spans", StringType())]
 
 
-def scanned(df: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
-    """``keep``, the base counts, the base digest and all spans."""
-    weights, transitions = trained()
+def scanned(df: DataFrame, keep: list[str], text: str = "text", model: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
+    """``keep``, the base counts, the base digest and all spans, by a fitted model
+    (of the made sentences alone where none is given)."""
+    weights, transitions = model or trained()
 
     def factory():
         scorer = Scores(weights)
@@ -550,7 +684,8 @@ def scanned(df: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
-    return scanned(table(spark, sf_dir, "documents"), ["doc_id"])
+    docs = table(spark, sf_dir, "documents")
+    return scanned(docs, ["doc_id"], model=learnt(docs))
 
 
 def redacted(text: str, spans: list[tuple[int, int, int]], mark: str = "[SECRET]") -> str:
@@ -565,7 +700,7 @@ def redacted(text: str, spans: list[tuple[int, int, int]], mark: str = "[SECRET]
 
 def secrets_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, with its secrets replaced by a mark and n_chars to match."""
-    weights, transitions = trained()
+    weights, transitions = learnt(docs)
     new = fresh(docs, "_text")
 
     def factory():
@@ -585,4 +720,4 @@ def secrets_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         change["n_chars"] = F.when(F.col(new).isNotNull(), F.length(new).cast(kind)).otherwise(F.col("n_chars"))
-    return rows.select(*[change[c].alias(c) if c in change else F.col(f"`{c}`") for c in docs.columns])
+    return rows.select(*[change[c].alias(c) if c in change else named(c) for c in docs.columns])
