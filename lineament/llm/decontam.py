@@ -9,24 +9,21 @@ joined on their hash. Around each hit the two texts are laid side by side, and
 the hit counts if, in some window of ``WINDOW`` words (the whole item if it is
 shorter) that holds the seed, at least ``SIMILARITY`` of the words agree.
 
-Seeds of the items are few; while there are at most ``INLINE_SEEDS`` of them
-they enter the plan as a constant set, and documents are filtered inside their
-row: only hits leave it. Beyond that bound the windows are joined with a
-shuffle; results are the same. No document is read twice, and texts are never
-shuffled.
+Documents are read and split once. A bitmap of the items' seeds, of fixed size, enters
+the plan as a constant: places whose seeds it does not know are passed over inside
+their row, and only the others are joined. Its size bounds what is sent along,
+not what is found; with more seeds it lets more places through to the same join.
 
 Null and empty texts and items have no words and no hits. Repeated rows of a document
-give the same pair once. A null doc_id is reported as null.
+give the same pair once. A null doc_id is reported as null. Empty tables give none.
 """
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import fresh, table
+from .shared import Cut, fresh, named, table
 
 #: For windows of WINDOW words, for items of six words to WINDOW - 1 besides, of five, and whole.
 LONG = ((0, 1, 2, 3, 5), (0, 2, 5, 6, 7), (0, 1, 3, 4, 5))
@@ -36,7 +33,10 @@ WHOLE = ((0,), (0, 1), (0, 1, 2), (0, 1, 2, 3))
 MASKS = tuple(dict.fromkeys(LONG + SHORT + FIVE + WHOLE))
 WINDOW = 10
 SIMILARITY = 0.8
-INLINE_SEEDS = 40_000
+#: Bits of the seeds' bitmap.
+BITS = 1 << 22
+#: Rows of (doc_id, hash) that may be broadcast.
+MOST_BROADCAST = 500_000
 
 
 def word_hashes(text: Column) -> Column:
@@ -49,11 +49,6 @@ def seed(mask: tuple[int, ...], h: str, i: str) -> str:
     return "xxhash64(" + ", ".join(f"{h}[{i} + {k}]" for k in mask) + ")"
 
 
-def starts(mask: tuple[int, ...], h: str) -> str:
-    span = max(mask) + 1
-    return f"CASE WHEN size({h}) >= {span} THEN sequence(0, size({h}) - {span}) ELSE CAST(array() AS array<int>) END"
-
-
 def masks_for(words: int) -> tuple[tuple[int, ...], ...]:
     """The masks that an item of so many words is searched by."""
     if words < 5:
@@ -67,60 +62,59 @@ def lengths_of(mask: tuple[int, ...]) -> list[int]:
 
 
 def item_seeds(items: DataFrame, item_id: str, text: str) -> DataFrame:
-    """mask, hash, item_id, place of the seed, and the item's words."""
-    words = items.select(F.col(item_id).alias("item_id"), word_hashes(F.col(text)).alias("iw"))
-    parts = []
+    """mask, hash, item_id, w (the window's words) and around each seed its place ``ip`` in ``inear``, a slice of the item's words."""
+    words = items.select(named(item_id).alias("item_id"), word_hashes(named(text)).alias("iw")).where("size(iw) > 0")
+    lists = []
     for k, mask in enumerate(MASKS):
-        meant = words.where(F.least(F.size("iw"), F.lit(WINDOW)).isin(lengths_of(mask)))
-        places = meant.select("item_id", "iw", F.explode(F.expr(starts(mask, "iw"))).alias("ip"))
-        parts.append(places.select(F.lit(k).alias("mask"), F.expr(seed(mask, "iw", "ip")).alias("hash"), "item_id", "ip", "iw"))
-    return functools.reduce(DataFrame.unionByName, parts)
-
-
-def document_hits(rows: DataFrame, seeds: DataFrame, inline: int) -> DataFrame:
-    """doc_id, key, mask, hash, and around each seed: its place ``at`` in ``near``, a slice of the words' hashes."""
-    few = seeds.select("mask", "hash").distinct().limit(inline + 1).collect()
-    # A mask without seeds (no item of its length) costs nothing.
-    used = {r["mask"] for r in (few if len(few) <= inline else seeds.select("mask").distinct().collect())}
-    known = rows.select("doc_id", "key", "dw")
-    parts = []
-    for k, mask in enumerate(MASKS):
-        if k not in used and (used or k):
-            continue
-        if len(few) <= inline:
-            listed = ", ".join(f"{r.hash}L" if r.hash != -(1 << 63) else "(-9223372036854775807L - 1L)" for r in few if r["mask"] == k)
-            test = f"{seed(mask, 'dw', 'i')} IN ({listed})" if listed else "false"
-            hits = known.select("doc_id", "key", "dw", F.explode(F.expr(f"filter({starts(mask, 'dw')}, i -> {test})")).alias("dp"))
-        else:
-            hits = known.select("doc_id", "key", "dw", F.explode(F.expr(starts(mask, "dw"))).alias("dp"))
-        first = F.greatest(F.lit(0), F.col("dp") - WINDOW)
-        parts.append(
-            hits.select(
-                "doc_id", "key",
-                F.lit(k).alias("mask"),
-                F.expr(seed(mask, "dw", "dp")).alias("hash"),
-                (F.col("dp") - first).alias("at"),
-                F.slice("dw", first + 1, F.lit(3 * WINDOW)).alias("near"),
-            )
-        )
-    return functools.reduce(DataFrame.unionByName, parts)
-
-
-def overlaps(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", inline: int = INLINE_SEEDS) -> DataFrame:
+        meant, span = ", ".join(map(str, lengths_of(mask))), max(mask) + 1
+        places = f"transform(sequence(0, size(iw) - {span}), i -> named_struct('mask', {k}, 'hash', {seed(mask, 'iw', 'i')}, 'at', i))"
+        lists.append(f"IF(least(size(iw), {WINDOW}) IN ({meant}), {places}, CAST(array() AS array<struct<mask: int, hash: bigint, at: int>>))")
+    seeds = words.select("item_id", "iw", F.explode(F.expr(f"concat({', '.join(lists)})")).alias("s"))
+    first = F.greatest(F.lit(0), F.col("s.at") - WINDOW)
+    return seeds.select("s.mask", "s.hash", "item_id", F.least(F.lit(WINDOW), F.size("iw")).alias("w"), (F.col("s.at") - first).alias("ip"), F.slice("iw", first + 1, F.lit(3 * WINDOW)).alias("inear"))
+
+
+def bitmap(seeds: DataFrame, bits: int = BITS) -> tuple[list[int], list[int]]:
+    """Words of 64 bits that mark the seeds' hashes, and the masks in use: at most bits / 64 rows reach the driver."""
+    place = F.col("hash").bitwiseAND(F.lit(bits - 1))
+    marks = seeds.select(F.shiftright(place, 6).cast("int").alias("word"), F.expr(f"shiftleft(1L, int((hash & {bits - 1}) & 63))").alias("bit"), F.expr("shiftleft(1L, mask)").alias("mask"))
+    rows = marks.groupBy("word").agg(F.bit_or("bit").alias("bits"), F.bit_or("mask").alias("masks")).collect()
+    words = [0] * (bits // 64)
+    used = 0
+    for r in rows:
+        words[r.word] = r.bits
+        used |= r.masks
+    return words, [k for k in range(len(MASKS)) if used >> k & 1]
+
+
+def document_hits(rows: DataFrame, seeds: DataFrame, bits: int = BITS) -> DataFrame:
+    """doc_id, key, mask, hash, and around each seed that the bitmap knows: its place ``at`` in ``near``, a slice of the words' hashes."""
+    words, used = bitmap(seeds, bits)
+    marks = f"from_json('[{','.join(map(str, words))}]', 'array<bigint>')"
+    known = lambda h: f"bit_get(element_at({marks}, int(shiftright({h} & {bits - 1}, 6)) + 1), int({h} & 63)) = 1"
+    laid = lambda k: f"IF(i + {max(MASKS[k])} < size(dw), {seed(MASKS[k], 'dw', 'i')}, NULL)"
+    some = " OR ".join(known(f"({laid(k)})") for k in used) or "false"
+    places = rows.select("doc_id", "key", "dw", F.explode(F.expr(f"filter(IF(size(dw) > 0, sequence(0, size(dw) - 1), CAST(array() AS array<int>)), i -> {some})")).alias("i"))
+    each = ", ".join(f"named_struct('mask', {k}, 'hash', {laid(k)})" for k in used) or "named_struct('mask', 0, 'hash', CAST(NULL AS bigint))"
+    first = F.greatest(F.lit(0), F.col("i") - WINDOW)
+    hits = places.select("doc_id", "key", (F.col("i") - first).alias("at"), F.slice("dw", first + 1, F.lit(3 * WINDOW)).alias("near"), F.explode(F.expr(f"filter(array({each}), s -> {known('s.hash')})")).alias("s"))
+    return hits.select("doc_id", "key", "at", "near", "s.mask", "s.hash")
+
+
+def overlaps(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", bits: int = BITS) -> DataFrame:
     """doc_id, key (of the text), item_id, n_hits and matches, window of the best overlap: one row a pair."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("key"), word_hashes(F.col(text)).alias("dw"))
+    rows = docs.select(named(doc_id).alias("doc_id"), F.xxhash64(named(text)).alias("key"), word_hashes(named(text)).alias("dw"))
     seeds = item_seeds(items, item_id, item_text)
-    hits = document_hits(rows, seeds, inline).join(seeds, ["mask", "hash"])
+    hits = document_hits(rows, seeds, bits).join(seeds, ["mask", "hash"])
     spans = F.element_at(F.lit([max(m) + 1 for m in MASKS]), F.col("mask") + 1)
-    width = F.least(F.lit(WINDOW), F.size("iw"))
     # A window that starts ``o`` words before the seed, inside both texts.
-    most = F.least(F.col("at"), F.col("ip"), width - spans)
+    most = F.least(F.col("at"), F.col("ip"), F.col("w") - spans)
     offsets = F.when(most >= 0, F.sequence(F.lit(0), F.greatest(F.lit(0), most))).otherwise(F.array().cast("array<int>"))
-    counted = hits.select("doc_id", "key", "item_id", "at", "ip", "near", "iw", width.alias("w"), offsets.alias("offsets")).select(
+    counted = hits.select("doc_id", "key", "item_id", "at", "ip", "near", "inear", "w", offsets.alias("offsets")).select(
         "doc_id", "key", "item_id", "w",
         F.expr(
-            "array_max(transform(filter(offsets, o -> at - o + w <= size(near) AND ip - o + w <= size(iw)), "
-            "o -> size(filter(sequence(0, w - 1), k -> near[at - o + k] = iw[ip - o + k]))))"
+            "array_max(transform(filter(offsets, o -> at - o + w <= size(near) AND ip - o + w <= size(inear)), "
+            "o -> size(filter(sequence(0, w - 1), k -> near[at - o + k] = inear[ip - o + k]))))"
         ).alias("matches"),
     )
     good = counted.where(F.col("matches") >= F.ceil(F.col("w") * F.lit(SIMILARITY)))
@@ -130,12 +124,35 @@ def overlaps(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: st
 
 def op9(spark, sf_dir: str) -> DataFrame:
     found = overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    pairs = found.groupBy("doc_id", "item_id").agg(F.max("n_hits").alias("n_hits"), F.max(F.struct(F.col("matches") / F.col("window"), "matches", "window")).alias("best"))
-    return pairs.select("doc_id", "item_id", "n_hits", F.col("best.matches").alias("matches"), F.col("best.window").alias("window"))
+    best = F.max(F.struct(F.col("matches") / F.col("window"), "matches", "window")).alias("best")
+    return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", F.col("best.matches").alias("matches"), F.col("best.window").alias("window"))
+
+
+#: DuckDB SQL for op9, by another way: equal words of a document and an item lie on
+#: diagonals, and the matches in windows along these are counted. No seed is used.
+_WORDS = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
+SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS a FROM documents),
+b AS (SELECT row_number() OVER () AS q, item_id, {_WORDS} AS a FROM benchmark),
+dw AS (SELECT r, doc_id, len(a) AS dn, unnest(a) AS word, generate_subscripts(a, 1) AS i FROM d),
+bw AS (SELECT q, item_id, len(a) AS bn, least(len(a), {WINDOW}) AS k, unnest(a) AS word, generate_subscripts(a, 1) AS j FROM b),
+m AS (SELECT r, doc_id, dn, q, item_id, bn, k, i - j AS diagonal, j FROM dw JOIN bw USING (word)),
+g AS (SELECT * FROM m QUALIFY count(*) OVER (PARTITION BY r, q, diagonal) >= ceil(k * {SIMILARITY})),
+s AS (SELECT *, least(j, bn - k + 1, dn - k + 1 - diagonal) AS first FROM g),
+c AS (SELECT s.r, s.doc_id, s.q, s.item_id, s.diagonal, s.j, s.k, count(*) AS matches FROM s
+  JOIN g ON g.r = s.r AND g.q = s.q AND g.diagonal = s.diagonal AND g.j BETWEEN s.first AND s.first + s.k - 1
+  WHERE s.first >= 1 AND s.first + s.diagonal >= 1 GROUP BY ALL)
+SELECT doc_id, item_id, arg_max(matches, (matches / k::DOUBLE, matches))::INT AS matches, arg_max(k, (matches / k::DOUBLE, matches))::INT AS "window"
+FROM c WHERE matches >= ceil(k * {SIMILARITY}) GROUP BY doc_id, item_id
+"""
 
 
 def decontamination_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that overlap no benchmark item, with their columns."""
+    """The documents that overlap no benchmark item, with their columns.
+
+    The rows to drop are written down; while they are few enough (``MOST_BROADCAST``)
+    they are sent to the documents, so that texts are not shuffled."""
     a, b = fresh(docs, "_doc"), fresh(docs, "_key")
-    bad = overlaps(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias(a), F.col("key").alias(b)).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad[a]) & F.xxhash64(docs["text"]).eqNullSafe(bad[b]), "left_anti")
+    bad = Cut(overlaps(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias(a), F.col("key").alias(b)).distinct(), "benchmark-overlaps").df
+    few = F.broadcast(bad) if bad.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else bad
+    return docs.join(few, docs["doc_id"].eqNullSafe(few[a]) & F.xxhash64(docs["text"]).eqNullSafe(few[b]), "left_anti")

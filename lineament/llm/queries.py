@@ -19,4 +19,4 @@ QUERIES = {
 
 #: The others cannot be expressed in SQL (hash functions, models, encoders) and
 #: are tested against brute force, the library or held-out rows.
-ORACLES = {"op1_quotation_linking": quotes.SQL, "op3_rule_ledger": quality.SQL}
+ORACLES = {"op1_quotation_linking": quotes.SQL, "op3_rule_ledger": quality.SQL, "op9_spaced_seeds": decontam.SQL}

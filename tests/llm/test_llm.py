@@ -282,8 +282,8 @@ def test_decontamination_finds_substituted_passages_both_ways(spark):
     worn = [w if i % 6 else "zzz" for i, w in enumerate(item)]
     texts = [prose(31, 60) + " " + " ".join(item).upper() + ". " + prose(32, 20), prose(33, 40) + " " + " ".join(worn), " ".join(f"q{i}" for i in range(80)), None, "", prose(31, 3)]
     items = spark.createDataFrame([(7, " ".join(item)), (8, ""), (9, None), (10, "only three words")], "item_id long, text string")
-    for inline in (decontam.INLINE_SEEDS, 0):
-        found = decontam.overlaps(docs(spark, texts), items, inline=inline).collect()
+    for bits in (decontam.BITS, 64):
+        found = decontam.overlaps(docs(spark, texts), items, bits=bits).collect()
         assert sorted((r.doc_id, r.item_id) for r in found) == [(0, 7), (1, 7)]
 
 
@@ -293,8 +293,8 @@ def test_masks_cover_every_pattern_of_substitutions():
             assert any(not set(wrong) & {o + k for k in m} for m in decontam.masks_for(n) for o in range(n - max(m))), (n, wrong)
 
 
-@pytest.mark.parametrize("inline", [decontam.INLINE_SEEDS, 0])
-def test_decontamination_of_short_items_and_every_fourth_word(spark, inline):
+@pytest.mark.parametrize("bits", [decontam.BITS, 64])
+def test_decontamination_of_short_items_and_every_fourth_word(spark, bits):
     items = {n: [f"item{n}w{k}" for k in range(n)] for n in (1, 2, 3, 4, 5, 6, 7, 8, 9, 15)}
     texts, want = [], set()
 
@@ -308,7 +308,7 @@ def test_decontamination_of_short_items_and_every_fourth_word(spark, inline):
             plant(n, (k,))
     plant(15, (3, 7, 11))
     texts.append("before item4w0 item4w1 item4w2 zz item5w0 zz item5w2 zz item5w4")
-    found = decontam.overlaps(docs(spark, texts), spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id long, text string"), inline=inline)
+    found = decontam.overlaps(docs(spark, texts), spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id long, text string"), bits=bits)
     assert {(r.doc_id, r.item_id) for r in found.collect()} == want
 
 
