@@ -5,21 +5,24 @@ word of the perfect binary Golay code of length 23 with zeros appended. Every
 such word lies within distance 3 of exactly one codeword, and its keys are the
 indices (12 bits) of the codewords nearest to it and to its neighbours at
 distance 1: one index if the codeword is within 2, up to six otherwise. Two
-words at distance 1 or less share a key, since the codeword of one is nearest
-to a neighbour of the other.
+words at distance 2 or less share a key: some word is a neighbour of both (or the
+one of the other), and its codeword is among the keys of either.
 
-Pigeonhole over segment errors: with at most 4 differing bits, either a segment
-has none, or all three have some and then two of them have exactly one. So
-fingerprints are joined on the whole value of each segment (3 keys) and on
-pairs of Golay keys of each two segments (24 bits of key), and every shared
-bucket is verified by counting bits. No link is lost and none is guessed.
+Pigeonhole over segment errors: of at most 4 differing bits, either a segment has
+none, and then one of the other two has at most two; or all three have some, and
+then none has more than two. So fingerprints are joined on the whole value of a
+segment with a Golay key of another (33 or 34 bits of key, about 32 keys) and on
+Golay keys of all three (36 bits, about 150 keys), and every shared bucket is
+verified by counting bits. No link is lost and none is guessed. Keys this wide keep
+the buckets of unlike fingerprints short: of 10^10 of them, some twenty.
 
 Only distinct fingerprints are joined, so exact copies cost nothing. A bucket
 yields a forest (each member with a link and the smallest fingerprint that it
-reaches inside the bucket), never all pairs. A bucket of more than
-``BUCKET_ROWS`` members is dealt out as pairs of blocks, so no task holds an
+reaches inside the bucket), never all pairs. Buckets are dealt out as pairs of
+blocks of about ``BUCKET_ROWS`` members (most have one block), so no task holds an
 unbounded group and none is cut short. Components follow from rounds of large
-and small stars over the forest's edges.
+and small stars over the forest's edges; joins whose keys may be hot are spread
+over ``SPREAD`` shares of each key.
 
 Null and empty texts have fingerprint zero and link like any other. Repeated
 rows share their fingerprint. Rows with a null doc_id get a component too; a
@@ -37,13 +40,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField
 
-from .shared import Cut, enrich, fresh, ship, table
+from .shared import Cut, enrich, fresh, named, ship, table
 
 WORDS = 4
 SEED = 42
 MOST_BITS = 4
 SEGMENTS = ((42, 22), (21, 21), (0, 21))
 BUCKET_ROWS = 8192
+SPREAD = 8
 #: Shingles hashed at once, so that very long texts stay in bounded memory.
 CHUNK = 1 << 16
 
@@ -92,33 +96,39 @@ def golay() -> tuple[np.ndarray, np.ndarray]:
 
 
 def segment_keys(values: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of words: up to six indices each, padded by repeating the first, and where they are new."""
-    near, far = golay()
+    """The distinct keys of words, up to six each, and how many they are."""
+    near, _ = golay()
     values = values.astype(np.uint32)
-    keys = np.empty((len(values), bits + 1), np.uint16)
-    keys[:, 0] = near[values]
+    every = np.empty((len(values), bits + 1), np.uint16)
+    every[:, 0] = near[values]
     for i in range(bits):
-        keys[:, i + 1] = near[values ^ np.uint32(1 << i)]
-    keys.sort(axis=1)
-    new = np.ones(keys.shape, bool)
-    new[:, 1:] = keys[:, 1:] != keys[:, :-1]
-    return keys, new
-
-
-def all_keys(fingerprints: np.ndarray) -> list[np.ndarray]:
-    """Every bucket key of each fingerprint, as 64-bit numbers."""
-    parts = [(fingerprints >> np.uint64(low)) & np.uint64((1 << bits) - 1) for low, bits in SEGMENTS]
-    exact = [(np.uint64(k) << np.uint64(40)) | p for k, p in enumerate(parts)]
+        every[:, i + 1] = near[values ^ np.uint32(1 << i)]
+    every.sort(axis=1)
+    new = np.ones(every.shape, bool)
+    new[:, 1:] = every[:, 1:] != every[:, :-1]
+    count = new.sum(axis=1)
+    keys = np.zeros((len(values), 6), np.uint64)
+    row, column = np.nonzero(new)
+    keys[row, (np.cumsum(new, axis=1) - 1)[row, column]] = every[row, column]
+    return keys, count
+
+
+def all_keys(fingerprints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every bucket key of each fingerprint as 64-bit numbers, one after another, and where each one's begin."""
+    u = np.uint64
+    parts = [(fingerprints >> u(low)) & u((1 << bits) - 1) for low, bits in SEGMENTS]
     coded = [segment_keys(p, bits) for p, (_, bits) in zip(parts, SEGMENTS)]
-    out = []
-    for row in range(len(fingerprints)):
-        own = [keys[row][new[row]].astype(np.uint64) for keys, new in coded]
-        keys = [np.array([e[row] for e in exact], np.uint64)]
-        for kind, (a, b) in enumerate(((0, 1), (0, 2), (1, 2)), 3):
-            pairs = (own[a][:, None] << np.uint64(12)) | own[b][None, :]
-            keys.append((np.uint64(kind) << np.uint64(40)) | pairs.ravel())
-        out.append(np.concatenate(keys).astype(np.int64))
-    return out
+    there = [np.arange(6) < count[:, None] for _, count in coded]
+    blocks, kept = [], []
+    for kind, (i, j) in enumerate((i, j) for i in range(3) for j in range(3) if i != j):
+        blocks.append(u(kind << 40) | parts[i][:, None] << u(12) | coded[j][0])
+        kept.append(there[j])
+    a, b, c = (keys for keys, _ in coded)
+    x, y, z = there
+    blocks.append((u(6 << 40) | a[:, :, None, None] << u(24) | b[:, None, :, None] << u(12) | c[:, None, None, :]).reshape(len(a), -1))
+    kept.append((x[:, :, None, None] & y[:, None, :, None] & z[:, None, None, :]).reshape(len(a), -1))
+    here = np.concatenate(kept, axis=1)
+    return np.concatenate(blocks, axis=1)[here].astype(np.int64), np.concatenate(([0], np.cumsum(here.sum(axis=1))))
 
 
 def bucket_forest(values: np.ndarray, others: np.ndarray | None = None) -> list[tuple[int, int]]:
@@ -147,24 +157,22 @@ def links(fingerprints: DataFrame, bucket_rows: int = BUCKET_ROWS) -> tuple[Data
 
     def factory():
         def work(values):
-            keys = all_keys(np.array(values, np.int64).view(np.uint64))
-            return [pa.array(keys, pa.list_(pa.int64()))]
+            keys, starts = all_keys(np.array(values, np.int64).view(np.uint64))
+            return [pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(keys))]
 
         return work
 
     keyed = Cut(enrich(fingerprints, "fp", factory, [StructField("keys", ArrayType(LongType()))], ["fp"]), "simhash-keys")
     rows = keyed.df.select(F.explode("keys").alias("key"), "fp")
+    # One row for each bucket of more than a block, so few that Spark mostly sends them to the keys.
     heavy = Cut(rows.groupBy("key").count().where(F.col("count") > bucket_rows).select("key", F.ceil(F.col("count") / bucket_rows).cast("int").alias("blocks")), "simhash-heavy")
-    if heavy.df.isEmpty():
-        dealt = rows.select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), "fp")
-    else:
-        own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-        other = F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1))
-        dealt = (
-            rows.join(heavy.df, "key", "left")
-            .select("key", "fp", F.coalesce(own, F.lit(0)).alias("own"), other.alias("other"))
-            .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp")
-        )
+    blocks = F.coalesce("blocks", F.lit(1))
+    own = F.pmod(F.xxhash64("fp"), blocks).cast("int")
+    dealt = (
+        rows.join(heavy.df, "key", "left")
+        .select("key", "fp", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+        .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp")
+    )
     sorted_rows = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").select("key", "i", "j", "fp")
     arrow = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -204,11 +212,18 @@ def links(fingerprints: DataFrame, bucket_rows: int = BUCKET_ROWS) -> tuple[Data
         if held and (pairs := bucket_forest(np.concatenate(held))):
             yield out(pairs)
 
-    fingerprints.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
     edges = Cut(sorted_rows.mapInArrow(run, "a long, b long").distinct(), "simhash-links")
     return edges.df, [keyed, heavy, edges]
 
 
+def spread_join(rows: DataFrame, single: DataFrame, on: str, by: str, how: str = "inner") -> DataFrame:
+    """Join with a frame that has one row a key; ``rows`` may have many of a key, and are
+    dealt by a hash of ``by`` to ``SPREAD`` shares of it."""
+    left = rows.withColumn("_share", F.pmod(F.xxhash64(by), F.lit(SPREAD)))
+    right = single.withColumn("_share", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long"))))
+    return left.join(right, [on, "_share"], how).drop("_share")
+
+
 def components(edges: DataFrame, name: str = "components") -> tuple[DataFrame, list[Cut]]:
     """``node`` and ``root`` (the least node that it reaches, as signed numbers) for nodes with edges (a, b).
 
@@ -223,9 +238,9 @@ def components(edges: DataFrame, name: str = "components") -> tuple[DataFrame, l
         e = now.df
         around = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = around.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = around.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = spread_join(around.where("b > a"), least, "a", "b").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         below = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(below, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
+        small = spread_join(large, below, "a", "b").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
         after = Cut(small.where("a <> b").distinct(), name)
         seen = after.df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
         now.drop()
@@ -250,19 +265,22 @@ def fingerprinted(df: DataFrame, keep: list[str], text: str = "text", name: str
 
 def classed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """doc_id, key (of the text), fp, component_id and root (a fingerprint) of every row."""
-    named = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("key"))
-    prints = Cut(fingerprinted(named, ["doc_id", "key"]), "simhash-prints")
-    distinct = prints.df.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    rows = docs.select(named(doc_id).cast("long").alias("doc_id"), named(text).alias("text"), F.xxhash64(named(text)).alias("key"))
+    prints = Cut(fingerprinted(rows, ["doc_id", "key"]), "simhash-prints")
+    distinct = prints.df.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows"))
     edges, cuts = links(distinct.select("fp"), bucket_rows)
     roots, more = components(edges)
     for cut in cuts:
         cut.drop()
-    rooted = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    # Fingerprints of one row without a link are classes of their own and need no join.
+    linked = roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
+    rooted = distinct.join(linked, F.col("fp") == F.col("node"), "left").where("rows > 1 OR root IS NOT NULL").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = Cut(rooted.join(least, "root").select("fp", "component_id", "root"), "simhash-classes")
+    shared = Cut(spread_join(rooted, least, "root", "fp").select("fp", "component_id", "root"), "simhash-classes")
     for cut in more:
         cut.drop()
-    return prints.df.join(named.df, "fp").select("doc_id", "key", "fp", "component_id", "root")
+    found = spread_join(prints.df, shared.df, "fp", "doc_id", "left")
+    return found.select("doc_id", "key", "fp", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("root", "fp").alias("root"))
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
@@ -284,6 +302,6 @@ def dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     kept = found.select(F.col("first.doc_id").alias(a), F.col("first.key").alias(b))
     # Equal texts have one class, so no (doc_id, text) is chosen twice.
     rows = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col(a)) & (F.xxhash64("text") == F.col(b)))
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    whole = F.struct(*map(named, docs.columns))
     once = rows.groupBy(a, b).agg(F.min_by(whole, F.coalesce("text", F.lit(""))).alias(row))
     return once.select(*[F.col(f"`{row}`.`{c}`").alias(c) for c in docs.columns])

@@ -9,6 +9,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from lineament.llm import bpe, decontam, pfor, pii, pu_quality, quality, quotes, secrets, simhash, urls
@@ -17,6 +18,9 @@ DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = [a + b + c for a in "ka lo mi ne su ta".split() for b in "ra ve xi po".split() for c in ("n", "l", "st")]
 
 
+TEXTS = [" ".join(np.random.default_rng(50 + n).choice(WORDS, n)) for n in (2, 3, 4, 5, 9, 40)]
+
+
 def docs(spark, texts, first=0):
     return spark.createDataFrame([(first + i, t, "en", "s", None if t is None else len(t)) for i, t in enumerate(texts)], DOCS)
 
@@ -73,8 +77,21 @@ def test_golay_keys_meet_at_four_bits():
         b = a
         for bit in r.choice(64, 4, replace=False):
             b ^= 1 << int(bit)
-        x, y = simhash.all_keys(np.array([a, b], np.uint64))
-        assert set(x.tolist()) & set(y.tolist())
+        keys, starts = simhash.all_keys(np.array([a, b], np.uint64))
+        assert starts[2] == len(keys) and set(keys[: starts[1]].tolist()) & set(keys[starts[1] :].tolist())
+
+
+def plain_fingerprint(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]+", lambda m: m[0].lower(), text or ""))
+    if not words:
+        return 0
+    hashes = [xxhash.xxh64_intdigest(" ".join(words[i : i + 4]).encode(), 42) for i in range(max(1, len(words) - 3))]
+    return sum(1 << bit for bit in range(64) if 2 * sum(h >> bit & 1 for h in hashes) > len(hashes))
+
+
+def test_fingerprints_by_brute_force():
+    for text in [None, "", " \n", "a", "A b", "É ÀB c d e É ÀB c d e", *TEXTS, prose(1, 700), "x " * 300, "a\x1cb c\x85d"]:
+        assert simhash.fingerprint(text) == plain_fingerprint(text)
 
 
 def test_dedup_keeps_one_row_of_a_group(spark):
