@@ -7,8 +7,10 @@ fragments' ids are concatenated. No merge can reach over a cut, so the result
 is that of the whole word.
 
 Null texts count as empty; an empty text has no ids. Repeated rows are encoded
-each by itself. Words are remembered in a bounded table, so that frequent ones
-are merged once a task.
+each by itself, very long texts whole; an empty table gives none. Words of at most
+``LONGEST`` characters are remembered in a bounded table, so that frequent ones
+are merged once a worker; longer ones are encoded whenever they come. Kept columns
+stay; a made one of the same name gets an underscore before it.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ from .shared import enrich
 
 #: Words whose ids a task remembers; the table is emptied when it is full.
 REMEMBERED = 300_000
+#: The longest word or chunk that is remembered, so that a table is bounded in bytes too.
+LONGEST = 48
 
 #: No merge; longer fragments than LONG are merged with a heap; the id in a merge.
 NONE, LONG, LOW = 1 << 62, 48, (1 << 32) - 1
@@ -79,6 +83,8 @@ class Remembered(dict):
         self.make, self.most, self.older = make, most, {}
 
     def __missing__(self, word):
+        if len(word) > LONGEST:
+            return self.make(word)
         ids = self.older.get(word)
         if ids is None:
             ids = self.make(word)

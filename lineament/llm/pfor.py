@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .bpe import shared_bpe
-from .shared import BATCH_ROWS, Cut, ship, table
+from .shared import Cut, named, ship, slices, table
 
 BLOCK = 256
 PERCENTILE = 0.9
@@ -166,9 +166,8 @@ def write_tokens(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", pa
     """
     spark = docs.sparkSession
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     end = int(end_id).to_bytes(4, "little")
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
+    rows = docs.select(named(doc_id).cast("long").alias("doc_id"), F.xxhash64(named(text)).alias("h"), named(text).alias("text"))
     dealt = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
     arrow = pa.schema(
         [("shard", pa.int32()), ("segment", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("doc_lengths", pa.list_(pa.int64())), ("n_ids", pa.int64()), ("data", pa.binary())]
@@ -177,7 +176,7 @@ def write_tokens(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", pa
     def run(batches):
         shard = TaskContext.get().partitionId()
         bpe = shared_bpe(path, True)
-        docs = ((i, bpe.packed(t) + end) for b in batches for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+        docs = ((i, bpe.packed(t) + end) for b in slices(batches) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
         for k, (keys, lengths, ids) in enumerate(segments_of(docs)):
             n = len(ids) // 4
             yield pa.RecordBatch.from_pylist(
@@ -206,11 +205,10 @@ def segment_starts(files: DataFrame) -> DataFrame:
 def read_tokens(spark: SparkSession, files: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document, from the files."""
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
     arrow = pa.schema([("shard", pa.int32()), ("segment", pa.int32()), ("doc_id", pa.int64()), ("inside", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches, 16):
             for shard, segment, keys, lengths, data in zip(*(b.column(i).to_pylist() for i in range(5))):
                 raw = unpack_ids(data).astype("<u4").tobytes()
                 ends = np.cumsum(lengths)

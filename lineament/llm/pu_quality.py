@@ -1,6 +1,6 @@
 """Quality classifier learned from positives and unlabelled text.
 
-Trusted positives are labelled quality 1; unlabelled text is any of the web
+Trusted positives are labelled quality 1; unlabelled text is any of the
 documents, its labels unread. The class prior is estimated from a first
 classifier of positives against unlabelled: the least ratio, over its score
 thresholds, of unlabelled to positive text above the threshold. The scorer then
@@ -168,15 +168,17 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, positives: int = MOST_POSITIVES, unlabelled: int = MOST_UNLABELLED) -> tuple[np.ndarray, np.ndarray]:
-    """Measurements of the bounded samples: two top-k of ids, then one pass that reads their texts."""
+    """Measurements of the bounded samples: two top-k of ids, then one pass that reads their texts.
+
+    Of rows that share an id one text is taken, so the bound on ids is one on rows."""
     order = F.xxhash64("doc_id", F.lit("pu"))
     good = labels.where(F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1").select("doc_id")
     chosen_p = good.orderBy(order, "doc_id").limit(positives).select("doc_id", F.lit(1).alias("kind"))
     every = docs.where(F.col("doc_id").isNotNull() & ~held_out()).select("doc_id")
-    chosen_u = every.orderBy(order, "doc_id").limit(unlabelled).distinct().select("doc_id", F.lit(0).alias("kind"))
+    chosen_u = every.distinct().orderBy(order, "doc_id").limit(unlabelled).select("doc_id", F.lit(0).alias("kind"))
     chosen = chosen_p.union(chosen_u).groupBy("doc_id").agg(F.max(F.col("kind")).alias("p"), F.max(1 - F.col("kind")).alias("u"))
     # At most positives + unlabelled rows of three numbers: safe to broadcast.
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "p", "u", "doc_id")
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "p", "u").agg(F.min("text").alias("text"))
 
     def factory():
         def work(values):
@@ -185,7 +187,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, positives: int = MOST_POSI
         return work
 
     rows = enrich(texts, "text", factory, [StructField("x", ArrayType(DoubleType()))], ["p", "u", "doc_id"]).collect()
-    rows.sort(key=lambda r: (r.doc_id, r.x))
+    rows.sort(key=lambda r: r.doc_id)
     pick = lambda k: np.array([r.x for r in rows if r[k]]).reshape(-1, FEATURES)
     return pick("p"), pick("u")
 
