@@ -15,8 +15,16 @@ QUERIES = {
     "op8_url_ngrams": urls.op8,
     "op9_spaced_seeds": decontam.op9,
     "op10_patched_blocks": pfor.op10,
+    "rule_policies": quality.rule_policies,
+    "rule_ablations": quality.rule_ablations,
 }
 
 #: The others cannot be expressed in SQL (hash functions, models, encoders) and
 #: are tested against brute force, the library or held-out rows.
-ORACLES = {"op1_quotation_linking": quotes.SQL, "op3_rule_ledger": quality.SQL, "op9_spaced_seeds": decontam.SQL}
+ORACLES = {
+    "op1_quotation_linking": quotes.SQL,
+    "op3_rule_ledger": quality.SQL,
+    "op9_spaced_seeds": decontam.SQL,
+    "rule_policies": quality.POLICIES_SQL,
+    "rule_ablations": quality.ABLATIONS_SQL,
+}
