@@ -9,10 +9,11 @@ joined on their hash. Around each hit the two texts are laid side by side, and
 the hit counts if, in some window of ``WINDOW`` words (the whole item if it is
 shorter) that holds the seed, at least ``SIMILARITY`` of the words agree.
 
-Documents are read and split once. A bitmap of the items' seeds, of fixed size, enters
-the plan as a constant: places whose seeds it does not know are passed over inside
-their row, and only the others are joined. Its size bounds what is sent along,
-not what is found; with more seeds it lets more places through to the same join.
+Documents are read and split once. Two bitmaps of fixed size, of the items' words and of
+their seeds, enter the plan as constants: places whose words or seeds they do not
+know are passed over inside their row, and only the others are joined. Their size
+bounds what is sent along, not what is found; with more items they let more places
+through to the same join.
 
 Null and empty texts and items have no words and no hits. Repeated rows of a document
 give the same pair once. A null doc_id is reported as null. Empty tables give none.
@@ -33,7 +34,7 @@ WHOLE = ((0,), (0, 1), (0, 1, 2), (0, 1, 2, 3))
 MASKS = tuple(dict.fromkeys(LONG + SHORT + FIVE + WHOLE))
 WINDOW = 10
 SIMILARITY = 0.8
-#: Bits of the seeds' bitmap.
+#: Bits of either bitmap, of words and of seeds.
 BITS = 1 << 22
 #: Rows of (doc_id, hash) that may be broadcast.
 MOST_BROADCAST = 500_000
@@ -46,7 +47,7 @@ def word_hashes(text: Column) -> Column:
 
 def seed(mask: tuple[int, ...], h: str, i: str) -> str:
     """The hash of a mask laid on the array ``h`` from its element ``i`` (from 0)."""
-    return "xxhash64(" + ", ".join(f"{h}[{i} + {k}]" for k in mask) + ")"
+    return "xxhash64(" + ", ".join(f"get({h}, {i} + {k})" for k in mask) + ")"
 
 
 def masks_for(words: int) -> tuple[tuple[int, ...], ...]:
@@ -61,9 +62,10 @@ def lengths_of(mask: tuple[int, ...]) -> list[int]:
     return [n for n in range(1, WINDOW + 1) if mask in masks_for(n)]
 
 
-def item_seeds(items: DataFrame, item_id: str, text: str) -> DataFrame:
-    """mask, hash, item_id, w (the window's words) and around each seed its place ``ip`` in ``inear``, a slice of the item's words."""
-    words = items.select(named(item_id).alias("item_id"), word_hashes(named(text)).alias("iw")).where("size(iw) > 0")
+def item_seeds(words: DataFrame) -> DataFrame:
+    """mask, hash, item_id, w (the window's words) and around each seed its place ``ip`` in ``inear``, a slice of the item's words.
+
+    Input: item_id and the words' hashes ``iw``, one at least."""
     lists = []
     for k, mask in enumerate(MASKS):
         meant, span = ", ".join(map(str, lengths_of(mask))), max(mask) + 1
@@ -74,38 +76,43 @@ def item_seeds(items: DataFrame, item_id: str, text: str) -> DataFrame:
     return seeds.select("s.mask", "s.hash", "item_id", F.least(F.lit(WINDOW), F.size("iw")).alias("w"), (F.col("s.at") - first).alias("ip"), F.slice("iw", first + 1, F.lit(3 * WINDOW)).alias("inear"))
 
 
-def bitmap(seeds: DataFrame, bits: int = BITS) -> tuple[list[int], list[int]]:
-    """Words of 64 bits that mark the seeds' hashes, and the masks in use: at most bits / 64 rows reach the driver."""
-    place = F.col("hash").bitwiseAND(F.lit(bits - 1))
-    marks = seeds.select(F.shiftright(place, 6).cast("int").alias("word"), F.expr(f"shiftleft(1L, int((hash & {bits - 1}) & 63))").alias("bit"), F.expr("shiftleft(1L, mask)").alias("mask"))
-    rows = marks.groupBy("word").agg(F.bit_or("bit").alias("bits"), F.bit_or("mask").alias("masks")).collect()
+def bitmap(hashes: DataFrame, bits: int) -> str:
+    """SQL of a constant array whose 64-bit words mark the hashes: at most bits / 64 rows reach the driver."""
+    marks = hashes.select(F.expr(f"int(shiftright(hash & {bits - 1}, 6))").alias("word"), F.expr("shiftleft(1L, int(hash & 63))").alias("bit"))
     words = [0] * (bits // 64)
-    used = 0
-    for r in rows:
+    for r in marks.groupBy("word").agg(F.bit_or("bit").alias("bits")).collect():
         words[r.word] = r.bits
-        used |= r.masks
-    return words, [k for k in range(len(MASKS)) if used >> k & 1]
+    return f"from_json('[{','.join(map(str, words))}]', 'array<bigint>')"
+
+
+def marked(words: str, bits: int, h: str) -> str:
+    return f"bit_get(element_at({words}, int(shiftright({h} & {bits - 1}, 6)) + 1), int({h} & 63)) = 1"
+
 
+def document_hits(rows: DataFrame, words: DataFrame, seeds: DataFrame, bits: int = BITS) -> DataFrame:
+    """doc_id, key, mask, hash, and around each seed that the bitmap knows: its place ``at`` in ``near``, a slice of the words' hashes.
 
-def document_hits(rows: DataFrame, seeds: DataFrame, bits: int = BITS) -> DataFrame:
-    """doc_id, key, mask, hash, and around each seed that the bitmap knows: its place ``at`` in ``near``, a slice of the words' hashes."""
-    words, used = bitmap(seeds, bits)
-    marks = f"from_json('[{','.join(map(str, words))}]', 'array<bigint>')"
-    known = lambda h: f"bit_get(element_at({marks}, int(shiftright({h} & {bits - 1}, 6)) + 1), int({h} & 63)) = 1"
+    A seed is hashed only where all its words occur in some item; every mask looks at its first place."""
+    used = sorted(r["mask"] for r in seeds.select("mask").distinct().collect())
+    own, known = bitmap(words.select(F.explode("iw").alias("hash")), bits), bitmap(seeds, bits)
+    flagged = rows.select("doc_id", "key", "dw", F.expr(f"transform(dw, h -> {marked(own, bits, 'h')})").alias("v"))
+    # Outside the text there is no flag; null counts as false. (The optimiser moves conditions, so none may guard another.)
+    occur = lambda k: " AND ".join(f"get(v, i + {o})" for o in MASKS[k][1:]) or "true"
+    tests = [f"({occur(k)} AND exists(array({seed(MASKS[k], 'dw', 'i')}), h -> {marked(known, bits, 'h')}))" for k in used]
+    places = flagged.select("doc_id", "key", "dw", F.explode(F.expr(f"filter(transform(v, (x, i) -> i), i -> v[i] AND ({' OR '.join(tests) or 'false'}))")).alias("i"))
     laid = lambda k: f"IF(i + {max(MASKS[k])} < size(dw), {seed(MASKS[k], 'dw', 'i')}, NULL)"
-    some = " OR ".join(known(f"({laid(k)})") for k in used) or "false"
-    places = rows.select("doc_id", "key", "dw", F.explode(F.expr(f"filter(IF(size(dw) > 0, sequence(0, size(dw) - 1), CAST(array() AS array<int>)), i -> {some})")).alias("i"))
     each = ", ".join(f"named_struct('mask', {k}, 'hash', {laid(k)})" for k in used) or "named_struct('mask', 0, 'hash', CAST(NULL AS bigint))"
     first = F.greatest(F.lit(0), F.col("i") - WINDOW)
-    hits = places.select("doc_id", "key", (F.col("i") - first).alias("at"), F.slice("dw", first + 1, F.lit(3 * WINDOW)).alias("near"), F.explode(F.expr(f"filter(array({each}), s -> {known('s.hash')})")).alias("s"))
+    hits = places.select("doc_id", "key", (F.col("i") - first).alias("at"), F.slice("dw", first + 1, F.lit(3 * WINDOW)).alias("near"), F.explode(F.expr(f"filter(array({each}), s -> {marked(known, bits, 's.hash')})")).alias("s"))
     return hits.select("doc_id", "key", "at", "near", "s.mask", "s.hash")
 
 
 def overlaps(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", bits: int = BITS) -> DataFrame:
     """doc_id, key (of the text), item_id, n_hits and matches, window of the best overlap: one row a pair."""
     rows = docs.select(named(doc_id).alias("doc_id"), F.xxhash64(named(text)).alias("key"), word_hashes(named(text)).alias("dw"))
-    seeds = item_seeds(items, item_id, item_text)
-    hits = document_hits(rows, seeds, bits).join(seeds, ["mask", "hash"])
+    words = items.select(named(item_id).alias("item_id"), word_hashes(named(item_text)).alias("iw")).where("size(iw) > 0")
+    seeds = item_seeds(words)
+    hits = document_hits(rows, words, seeds, bits).join(seeds, ["mask", "hash"])
     spans = F.element_at(F.lit([max(m) + 1 for m in MASKS]), F.col("mask") + 1)
     # A window that starts ``o`` words before the seed, inside both texts.
     most = F.least(F.col("at"), F.col("ip"), F.col("w") - spans)
