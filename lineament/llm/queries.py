@@ -15,6 +15,7 @@ QUERIES = {
     "op8_url_ngrams": urls.op8,
     "op9_spaced_seeds": decontam.op9,
     "op10_patched_blocks": pfor.op10,
+    "quoted_conversations": quotes.quoted_conversations,
     "rule_policies": quality.rule_policies,
     "rule_ablations": quality.rule_ablations,
 }
@@ -25,6 +26,7 @@ ORACLES = {
     "op1_quotation_linking": quotes.SQL,
     "op3_rule_ledger": quality.SQL,
     "op9_spaced_seeds": decontam.SQL,
+    "quoted_conversations": quotes.QUOTED_SQL,
     "rule_policies": quality.POLICIES_SQL,
     "rule_ablations": quality.ABLATIONS_SQL,
 }

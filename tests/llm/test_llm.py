@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from lineament.llm import bpe, decontam, pfor, pii, pu_quality, quality, quotes, secrets, simhash, urls
+from lineament.llm import bpe, decontam, pfor, pii, pu_quality, quality, secrets, simhash, urls
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = [a + b + c for a in "ka lo mi ne su ta".split() for b in "ra ve xi po".split() for c in ("n", "l", "st")]
@@ -30,17 +30,6 @@ def prose(seed: int, n: int) -> str:
     return " ".join(r.choice(WORDS, n))
 
 
-def test_quotes_link_to_first_message_and_leave_the_text(spark):
-    rows = [(1, 0, "user", "Hello there\nplease  HELP"), (1, 1, "assistant", "> please help\nsure"), (1, 2, "user", "> > please help\n> sure\nthanks"), (1, 3, "user", None), (1, 3, "user", None), (None, 0, "x", ""), (2, None, "x", "> nothing")]
-    out = quotes.linked(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
-    got = {(r.conv_id, r.turn): r for r in out}
-    assert len(out) == len(rows)
-    assert (got[1, 1].reply_to, got[1, 1].text, got[1, 1].by_quote) == (0, "sure", True)
-    assert (got[1, 2].reply_to, got[1, 2].depth, got[1, 2].n_quoted) == (1, 2, 2)
-    assert (got[1, 3].reply_to, got[1, 3].position, got[1, 3].text) == (2, 4, "")
-    assert got[2, None].text == "" and got[2, None].reply_to is None
-
-
 def brute_components(prints):
     root = {p: p for p in set(prints)}
 
