@@ -25,6 +25,7 @@ QUERIES = {
 ORACLES = {
     "op1_quotation_linking": quotes.SQL,
     "op3_rule_ledger": quality.SQL,
+    "op8_url_ngrams": urls.sql(),
     "op9_spaced_seeds": decontam.SQL,
     "quoted_conversations": quotes.QUOTED_SQL,
     "rule_policies": quality.POLICIES_SQL,
