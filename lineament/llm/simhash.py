@@ -153,7 +153,6 @@ def bucket_forest(values: np.ndarray, others: np.ndarray | None = None) -> list[
 
 def links(fingerprints: DataFrame, bucket_rows: int = BUCKET_ROWS) -> tuple[DataFrame, list[Cut]]:
     """Forest edges (a, b), a > b as unsigned numbers, between distinct fingerprints ``fp`` (signed)."""
-    ship(fingerprints.sparkSession)
 
     def factory():
         def work(values):
@@ -162,7 +161,11 @@ def links(fingerprints: DataFrame, bucket_rows: int = BUCKET_ROWS) -> tuple[Data
 
         return work
 
-    keyed = Cut(enrich(fingerprints, "fp", factory, [StructField("keys", ArrayType(LongType()))], ["fp"]), "simhash-keys")
+    spark = fingerprints.sparkSession
+    ship(spark)
+    # Some 180 keys follow from each of these few bytes: dealt out before, so that no task makes many of them.
+    shares = fingerprints.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "fp")
+    keyed = Cut(enrich(shares, "fp", factory, [StructField("keys", ArrayType(LongType()))], ["fp"]), "simhash-keys")
     rows = keyed.df.select(F.explode("keys").alias("key"), "fp")
     # One row for each bucket of more than a block, so few that Spark mostly sends them to the keys.
     heavy = Cut(rows.groupBy("key").count().where(F.col("count") > bucket_rows).select("key", F.ceil(F.col("count") / bucket_rows).cast("int").alias("blocks")), "simhash-heavy")
