@@ -103,18 +103,24 @@ def places(rows: DataFrame) -> DataFrame:
     return placed.unionByName(turns.where("turn IS NULL").select("c", "turn", "n", F.lit(1).cast("long").alias("position"), F.lit(None).cast("long").alias("before")))
 
 
-def parsed(messages: DataFrame) -> DataFrame:
-    """c (the conversation, never null), turn, key (of the text) and lines, with what was given."""
-    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.struct(level_of(x).alias("level"), x.alias("line")))
+def named_rows(messages: DataFrame) -> DataFrame:
+    """c (the conversation, never null), turn, key (of the text), text (never null), marked (it has a ">") and what was given."""
+    text = F.coalesce("text", F.lit(""))
     return messages.select(
         F.coalesce(F.col("conv_id").cast("string"), F.lit("\0")).alias("c"), "conv_id", F.col("turn").cast("long").alias("turn"), "role",
-        F.md5(F.coalesce("text", F.lit(""))).alias("key"), lines.alias("lines"), F.contains(F.coalesce("text", F.lit("")), F.lit(">")).alias("marked"),
+        F.md5(text).alias("key"), text.alias("text"), F.contains(text, F.lit(">")).alias("marked"),
     )
 
 
+def lines_of() -> Column:
+    return F.transform(F.split("text", "\n"), lambda x: F.struct(level_of(x).alias("level"), x.alias("line")))
+
+
 def said(rows: DataFrame, quotes: DataFrame) -> DataFrame:
     """c, hash (of a passage) and turn of every message that says a quoted passage in its own words."""
-    own = rows.where("turn IS NOT NULL").select("c", "turn", "key", own_lines().alias("lines"))
+    # Only conversations with quotes are taken apart.
+    asked = rows.where("turn IS NOT NULL").join(quotes.select("c").distinct(), "c", "left_semi")
+    own = asked.select("c", "turn", "key", lines_of().alias("lines")).select("c", "turn", "key", own_lines().alias("lines"))
     wanted = quotes.select("c", "passage", "hash").distinct().withColumn("w", F.split("passage", " "))
     short = own.select("c", "turn", F.explode(F.array_distinct(F.transform("lines", lambda x: F.array_join(words_of(F.array(x)), " ")))).alias("passage"))
     short = short.where("passage <> ''").join(wanted.where(F.size("w") < FEWEST).select("c", "passage", "hash"), ["c", "passage"]).select("c", "hash", "turn")
@@ -132,9 +138,10 @@ def said(rows: DataFrame, quotes: DataFrame) -> DataFrame:
 
 def parents(rows: DataFrame) -> DataFrame:
     """c, turn, key, origin (the latest of the outermost linked passages) and n_linked of messages with linked passages."""
-    every = rows.where("marked AND turn IS NOT NULL").select("c", "turn", "key", F.explode(passages()).alias("p")).where("p.passage <> ''")
-    # What a message quotes twice is looked up once.
-    quotes = every.groupBy("c", "turn", "key", F.col("p.passage").alias("passage"), F.md5("p.passage").alias("hash")).agg(F.min("p.level").alias("level"))
+    split = rows.where("marked AND turn IS NOT NULL").select("c", "turn", "key", lines_of().alias("lines"))
+    every = split.select("c", "turn", "key", F.explode(passages()).alias("p")).where("p.passage <> ''")
+    # What a message quotes twice is looked up once. Written down, the quotes have a size that Spark knows.
+    quotes = Cut(every.groupBy("c", "turn", "key", F.col("p.passage").alias("passage"), F.md5("p.passage").alias("hash")).agg(F.min("p.level").alias("level")), "quotes").df
     sayers = said(rows, quotes).select("c", "hash", "turn", F.col("turn").alias("said"))
     asked = quotes.select("c", "hash", "turn", F.lit(None).cast("long").alias("said")).distinct()
     moments = sayers.unionByName(asked).groupBy("c", "hash", "turn").agg(F.max("said").alias("said"))
@@ -176,7 +183,7 @@ def threaded(nodes: DataFrame) -> DataFrame:
 
 def linked(messages: DataFrame) -> DataFrame:
     """conv_id, turn, role, text, n_quoted, depth, n_linked, reply_to, by_quote, position and thread_position of every message."""
-    rows = parsed(messages)
+    rows = named_rows(messages)
     found = Cut(parents(rows), "quote-parents")
     placed = places(rows)
     replies = found.df.groupBy("c", "turn").agg(F.max("origin").alias("quoted"))
@@ -184,11 +191,12 @@ def linked(messages: DataFrame) -> DataFrame:
     threads = threaded(nodes)
     timed = placed.join(threads, ["c", "turn"], "left").select(F.col("c").alias("_c"), F.col("turn").alias("_turn"), "before", "position", F.coalesce("thread_position", "position").alias("thread_position"))
     out = rows.join(found.df, ["c", "turn", "key"], "left").join(timed, (F.col("c") == F.col("_c")) & F.col("turn").eqNullSafe(F.col("_turn")))
+    out = out.withColumn("lines", F.when(F.col("marked"), lines_of()))
     own = F.array_join(F.transform(own_lines(), lambda x: x["line"]), "\n")
     return out.select(
         "conv_id", "turn", "role",
-        own.alias("text"),
-        F.size(F.filter("lines", lambda x: x["level"] > 0)).cast("long").alias("n_quoted"),
+        F.when(F.col("marked"), own).otherwise(F.col("text")).alias("text"),
+        F.greatest(F.size(F.filter("lines", lambda x: x["level"] > 0)), F.lit(0)).cast("long").alias("n_quoted"),
         F.coalesce(F.array_max(F.transform("lines", lambda x: x["level"])), F.lit(0)).cast("long").alias("depth"),
         F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"),
         F.coalesce("origin", "before").alias("reply_to"),
