@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lineament.operators.detect import ONCE
+from lineament.operators.detect import once
 from lineament.plans.catalogue import DISPLAY, FAMILIES, METRIC_RULES, SIGNALS
 
 #: Families from the greatest displayed name down: the order in which ties fall.
@@ -24,22 +24,17 @@ def catalogue(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "id string, language string, analyzer string, family string, tenths int, metric string, op string, threshold double")
 
 
-def family_tenths(signals: str = "signals") -> list[Column]:
-    """One sum a family, folded inside the row from a constant map of weights."""
-    out = []
-    for f in FAMILIES:
-        pairs = ", ".join(f"'{s.id}', {s.tenths}" for s in SIGNALS if s.family == f)
-        out.append(F.expr(f"aggregate({signals}, 0, (a, s) -> a + coalesce(element_at(map({pairs}), s), 0))").alias(f"t_{f}"))
-    return out
+def family_tenths(hits: str = "hits") -> dict[str, str]:
+    """One sum a family, folded inside the row."""
+    return {f"t_{f}": f"aggregate({hits}, 0, (a, h) -> a + IF(h.family = '{f}', h.tenths, 0))" for f in FAMILIES}
 
 
 def verdict(df: DataFrame, keep: list[str]) -> DataFrame:
     """``keep``, share_<family>, primary and confidence from t_<family>."""
-    least = F.least(*[F.col(f"t_{f}") for f in FAMILIES])
-    up = df.select(*keep, *[(F.col(f"t_{f}") - least).alias(f"u_{f}") for f in FAMILIES])
-    total = sum((F.col(f"u_{f}") for f in FAMILIES[1:]), F.col(f"u_{FAMILIES[0]}"))
-    shares = up.select(*keep, *[F.when(F.expr(ONCE) & (total > 0), F.round(F.col(f"u_{f}") / total, 6)).otherwise(F.lit(0.0)).alias(f"share_{f}") for f in FAMILIES])
-    return with_primary(shares)
+    sums = ", ".join(f"t_{f}" for f in FAMILIES)
+    up = once(df, keep, **{f"u_{f}": f"t_{f} - least({sums})" for f in FAMILIES})
+    total = " + ".join(f"u_{f}" for f in FAMILIES)
+    return with_primary(once(up, keep, **{f"share_{f}": f"IF({total} > 0, round(u_{f} / ({total}), 6), 0D)" for f in FAMILIES}))
 
 
 def with_primary(shares: DataFrame) -> DataFrame:
@@ -51,7 +46,7 @@ def with_primary(shares: DataFrame) -> DataFrame:
 
 
 def attributed(signals: DataFrame, keep: tuple[str, ...] = ("unit_id", "path", "n")) -> DataFrame:
-    rows = signals.select(*keep, F.size("signals").alias("signal_count"), *family_tenths())
+    rows = once(signals, list(keep), signal_count="size(hits)", **family_tenths())
     return verdict(rows, [*keep, "signal_count"])
 
 

@@ -1,9 +1,14 @@
 """Signals of source texts: counts, names and layout as expressions over an array of lines.
 
-A unit is a row (unit_id, path, source). Its lines become one array; every
-detector is a native expression over it, so a unit never leaves its row and
-nothing is shuffled. ``signals_sql`` renders the same catalogue as DuckDB SQL
-over a table of lines.
+A unit is a row (unit_id, path, source). Its lines become one array; every line is
+looked at once and becomes a number with a bit for each predicate of the unit's
+language, and detectors are counts of these bits. All of it is native expressions
+in one pass over one scan: a unit never leaves its row and nothing is shuffled.
+``signals_sql`` renders the same catalogue as DuckDB SQL over a table of lines.
+
+What several expressions use is made by a generator of one row (``once``): the
+optimiser neither copies it into them nor looks for constraints among them, which
+for some hundred columns took minutes.
 
 A null source counts as empty, which has no lines and no signals. Units without
 a known language follow the Rust rules.
@@ -11,7 +16,8 @@ a known language follow the Rust rules.
 
 from __future__ import annotations
 
-from functools import reduce
+import re
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,9 +25,6 @@ from pyspark.sql import functions as F
 from lineament.functions.portable import WHITE, P, duck_text, spark_text, starts
 from lineament.plans.catalogue import ABBREVIATIONS, COUNTS, DEFS, IMPORTS, LANGUAGES, SIGNALS
 
-#: Always true, but not to the optimiser: what stands behind it is computed once
-#: and never copied into filters that Spark moves below it.
-ONCE = "rand(0) < 2"
 EDGES = f"^{WHITE}+|{WHITE}+$"
 PLAIN = r"^[\p{L}\p{N}_]+$"
 SHORT = "^({0})$|^({0})_|_({0})$".format("|".join(ABBREVIATIONS))
@@ -71,15 +74,26 @@ def language_of(path: Column) -> Column:
     return out
 
 
+def once(df: DataFrame, keep: list[str], **made: str) -> DataFrame:
+    """``keep`` and the expressions ``made``, each computed once whatever uses it later."""
+    struct = ", ".join(f"'{k}', {v}" for k, v in made.items())
+    rows = df.select(*keep, F.explode(F.expr(f"array(named_struct({struct}))")).alias("_made"))
+    return rows.select(*keep, *[F.col(f"_made.{k}").alias(k) for k in made])
+
+
 def with_lines(units: DataFrame) -> DataFrame:
     """Adds language, n and the array ``x`` of line structs."""
     base = units.select("unit_id", "path", language_of(F.col("path")).alias("language"), lines_of(F.col("source")).alias("raw"))
-    trimmed = base.select(
-        "unit_id", "path", "language", F.size("raw").alias("n"),
-        F.expr(f"transform(raw, l -> named_struct('l', l, 't', regexp_replace(l, {spark_text(EDGES)}, ''), 'lo', lower(l)))").alias("y"),
-    )
+    trimmed = f"transform(raw, l -> named_struct('l', l, 't', regexp_replace(l, {spark_text(EDGES)}, ''), 'lo', lower(l)))"
+    lines = once(base, ["unit_id", "path", "language"], n="size(raw)", y=trimmed)
     around = "transform(y, (e, i) -> named_struct('l', e.l, 't', e.t, 'lo', e.lo, 'pt', get(y, i - 1).t, 'nt', get(y, i + 1).t))"
-    return trimmed.select("unit_id", "path", "language", "n", F.expr(f"IF({ONCE}, {around}, NULL)").alias("x"))
+    return once(lines, ["unit_id", "path", "language", "n"], x=around)
+
+
+def by_language(languages: Sequence[str], of: Callable[[str], str], other: str) -> str:
+    """A CASE over the unit's language; units without one follow the Rust rules."""
+    cases = " ".join(f"WHEN coalesce(language, 'rust') = '{x}' THEN {of(x)}" for x in languages)
+    return f"CASE {cases} ELSE {other} END"
 
 
 def _spark_names(parts: list[tuple[str, str, bool]]) -> str:
@@ -114,43 +128,70 @@ def _name_measures(dialect: str, names: str, every: str, fn: str) -> dict[str, s
     }
 
 
-def features(lines: DataFrame, language: str) -> DataFrame:
-    """unit_id, n and every count and measurement of a language, one row a unit."""
-    counts = [F.expr(f"size(filter(x, e -> {p.spark}))").alias(k) for k, p in COUNTS[language].items()]
-    names = F.expr(_spark_names(NAMES[language])).alias("_names")
-    fn = F.expr(_spark_names(FN_NAMES)).alias("_fn") if language == "rust" else F.expr("CAST(array() AS array<string>)").alias("_fn")
-    kind = "t" if language == "rust" else "l"
-    layout = [
-        F.expr(f"transform(filter(x, e -> {IMPORTS[language].spark}), e -> e.{kind})").alias("_imports"),
-        F.expr("regexp_extract_all(array_join(transform(x, e -> IF(e.t = '', 'b', 'x')), ''), '(b+)x', 1)").alias("_runs"),
-        F.expr(f"array_position(transform(x, e -> {DEFS[language].spark}), true) - 1").alias("first_def"),
-        F.expr("aggregate(filter(x, e -> contains(e.l, '#[derive(')), 0, (s, e) -> s + length(e.l) - length(replace(e.l, ',', '')))").alias("derive_commas"),
-    ]
-    wide = lines.select("unit_id", "path", "n", *counts, names, fn, *layout)
-    measures = _name_measures("spark", "_names", "concat(_names, _fn)" if language == "rust" else "_names", "_fn")
-    return wide.select(
-        "unit_id", "path", "n", *COUNTS[language], "first_def", "derive_commas",
-        *[F.expr(e).cast("int").alias(k) for k, e in measures.items()],
-        F.size("_imports").alias("imports"), (F.col("_imports") == F.array_sort("_imports")).alias("imports_sorted"),
-        F.size("_runs").alias("blank_runs"),
-        F.coalesce(F.expr("array_min(transform(_runs, r -> length(r))) = array_max(transform(_runs, r -> length(r)))"), F.lit(False)).alias("blank_runs_equal"),
-        F.col("_names").alias("name_list"), F.col("_fn").alias("fn_list"), F.col("_runs").alias("run_list"),
-    )
+def _bits(language: str) -> str:
+    """Each line as a number with a bit for each count of the language, and one for a definition."""
+    tests = [*COUNTS[language].values(), DEFS[language]]
+    return "transform(x, e -> " + " | ".join(f"IF({p.spark}, {1 << k}L, 0L)" for k, p in enumerate(tests)) + ")"
+
+
+def _fired(language: str, analyzers: tuple[str, ...] | None) -> str:
+    """The signals of a language that hold, as structs of id, family and tenths; counts stand by their name."""
+    rules = [s for s in SIGNALS if s.language == language and (analyzers is None or s.analyzer in analyzers)]
+    if not rules:
+        return NO_HITS
+    names = {k: f"size(filter(b, v -> v & {1 << i}L <> 0))" for i, k in enumerate(COUNTS[language])}
+    used = sorted({w for s in rules for w in re.findall(r"[a-z_0-9]+", s.when)} & set(names))
+    fields = ", ".join(f"'{k}', {names[k]}" for k in used) or "'none', 0"
+    place = lambda when: re.sub(r"[a-z_][a-z_0-9]*", lambda m: f"c.{m[0]}" if m[0] in names else m[0], when)
+    cases = ", ".join(f"IF({place(s.when)}, named_struct('id', '{s.id}', 'family', '{s.family}', 'tenths', {s.tenths}), NULL)" for s in rules)
+    return f"flatten(transform(array(named_struct({fields})), c -> array_compact(array({cases}))))"
+
+
+HIT = "struct<id: string, family: string, tenths: int>"
+NO_HITS = f"CAST(array() AS array<{HIT}>)"
+MEASURES = ("names", "name_bytes", "single_names", "underscores", "camel_names", "snake_names", "short_words", "fn_names", "fn_bytes")
+
+
+def features(lines: DataFrame, languages: Sequence[str] = LANGUAGES) -> DataFrame:
+    """unit_id, path, language, n, the bits ``b`` of every line, and every measurement, one row a unit."""
+    none = "CAST(array() AS array<string>)"
+    imports = lambda x: f"transform(filter(x, e -> {IMPORTS[x].spark}), e -> e.{'t' if x == 'rust' else 'l'})"
+    wide = once(
+        lines,
+        ["unit_id", "path", "language", "n"],
+        b=by_language(languages, _bits, "CAST(array() AS array<bigint>)"),
+        name_list=by_language(languages, lambda x: _spark_names(NAMES[x]), none),
+        fn_list=by_language([x for x in languages if x == "rust"], lambda x: _spark_names(FN_NAMES), none) if "rust" in languages else none,
+        import_list=by_language(languages, imports, none),
+        run_list="regexp_extract_all(array_join(transform(x, e -> IF(e.t = '', 'b', 'x')), ''), '(b+)x', 1)",
+        derive_commas="aggregate(filter(x, e -> contains(e.l, '#[derive(')), 0, (s, e) -> s + length(e.l) - length(replace(e.l, ',', '')))",
+    )
+    measures = _name_measures("spark", "name_list", "concat(name_list, fn_list)", "fn_list")
+    marks = {x: 1 << len(COUNTS[x]) for x in languages}
+    return once(
+        wide,
+        ["unit_id", "path", "language", "n", "b", "derive_commas", "name_list", "fn_list", "run_list"],
+        first_def=by_language(languages, lambda x: f"int(array_position(transform(b, v -> v & {marks[x]}L <> 0), true) - 1)", "-1"),
+        defs=by_language(languages, lambda x: f"size(filter(b, v -> v & {1 << list(COUNTS[x]).index('defs')}L <> 0))", "0"),
+        **{k: f"int({measures[k]})" for k in MEASURES},
+        imports="size(import_list)",
+        imports_sorted="import_list = array_sort(import_list)",
+        blank_runs="size(run_list)",
+        blank_runs_equal="coalesce(array_min(transform(run_list, r -> length(r))) = array_max(transform(run_list, r -> length(r))), false)",
+    )
+
+
+def hits(units: DataFrame, analyzers: tuple[str, ...] | None = None, languages: tuple[str, ...] = LANGUAGES) -> DataFrame:
+    """unit_id, path, language, n and the array ``hits`` of fired signals: id, family, tenths. Units of other languages are left out."""
+    lines = with_lines(units)
+    if set(languages) != set(LANGUAGES):
+        lines = lines.where(F.coalesce("language", F.lit("rust")).isin(*languages))
+    return once(features(lines, languages), ["unit_id", "path", "language", "n"], hits=by_language(languages, lambda x: _fired(x, analyzers), NO_HITS))
 
 
 def signals(units: DataFrame, analyzers: tuple[str, ...] | None = None, languages: tuple[str, ...] = LANGUAGES) -> DataFrame:
-    """unit_id, path, language, n and the array of fired signal ids."""
-    # Inferring constraints over some sixty dependent columns takes the optimiser minutes and yields no filter.
-    units.sparkSession.conf.set("spark.sql.constraintPropagation.enabled", "false")
-    lines = with_lines(units)
-    parts = []
-    for language in languages:
-        own = F.col("language") == language
-        rows = lines.where(F.coalesce(own, F.lit(language == "rust")))
-        f = features(rows, language)
-        fired = [f"CASE WHEN {s.when} THEN '{s.id}' END" for s in SIGNALS if s.language == language and (analyzers is None or s.analyzer in analyzers)]
-        parts.append(f.select("unit_id", "path", language_of(F.col("path")).alias("language"), "n", F.expr(f"IF({ONCE}, array_compact(array({', '.join(fired)})), NULL)").alias("signals")))
-    return reduce(DataFrame.unionByName, parts)
+    """unit_id, path, language, n, the array of fired signal ids, and ``hits``."""
+    return hits(units, analyzers, languages).select("unit_id", "path", "language", "n", F.expr("transform(hits, h -> h.id)").alias("signals"), "hits")
 
 
 # The same in DuckDB. ---------------------------------------------------------

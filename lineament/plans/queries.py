@@ -88,7 +88,7 @@ def _features(name: str, language: str, spark_columns: list[str], sql_columns: s
     @register(f"{name}_{language}", sql)
     def run(spark, d):
         lines = detect.with_lines(code_units(spark, d)).where(F.col("language") == language)
-        return detect.features(lines, language).selectExpr("unit_id", *spark_columns)
+        return detect.features(lines, (language,)).selectExpr("unit_id", *spark_columns)
 
 
 for _l in LANGUAGES:
@@ -105,7 +105,7 @@ SELECT unit_id, round(-sum(k / n::DOUBLE * log2(k / n::DOUBLE)), 6) AS entropy F
 @register("identifier_entropy", _ENTROPY)
 def identifier_entropy(spark, d):
     lines = detect.with_lines(code_units(spark, d)).where("language = 'python'")
-    f = detect.features(lines, "python").select("unit_id", F.explode_outer(F.expr("IF(names >= 10, filter(split(array_join(name_list, ''), ''), c -> c <> ''), NULL)")).alias("c")).where("c IS NOT NULL")
+    f = detect.features(lines, ("python",)).select("unit_id", F.explode_outer(F.expr("IF(names >= 10, filter(split(array_join(name_list, ''), ''), c -> c <> ''), NULL)")).alias("c")).where("c IS NOT NULL")
     counts = f.groupBy("unit_id", "c").agg(F.count(F.lit(1)).alias("k"))
     share = F.col("k") / F.sum("k").over(Window.partitionBy("unit_id"))
     return counts.select("unit_id", share.alias("p")).groupBy("unit_id").agg(F.round(-F.sum(F.col("p") * F.log2("p")), 6).alias("entropy"))
