@@ -81,13 +81,13 @@ def once(df: DataFrame, keep: list[str], **made: str) -> DataFrame:
     return rows.select(*keep, *[F.col(f"_made.{k}").alias(k) for k in made])
 
 
-def with_lines(units: DataFrame) -> DataFrame:
-    """Adds language, n and the array ``x`` of line structs."""
-    base = units.select("unit_id", "path", language_of(F.col("path")).alias("language"), lines_of(F.col("source")).alias("raw"))
+def with_lines(units: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Adds language, n and the array ``x`` of line structs; columns ``keep`` go along."""
+    base = units.select("unit_id", "path", *keep, language_of(F.col("path")).alias("language"), lines_of(F.col("source")).alias("raw"))
     trimmed = f"transform(raw, l -> named_struct('l', l, 't', regexp_replace(l, {spark_text(EDGES)}, ''), 'lo', lower(l)))"
-    lines = once(base, ["unit_id", "path", "language"], n="size(raw)", y=trimmed)
+    lines = once(base, ["unit_id", "path", "language", *keep], n="size(raw)", y=trimmed)
     around = "transform(y, (e, i) -> named_struct('l', e.l, 't', e.t, 'lo', e.lo, 'pt', get(y, i - 1).t, 'nt', get(y, i + 1).t))"
-    return once(lines, ["unit_id", "path", "language", "n"], x=around)
+    return once(lines, ["unit_id", "path", "language", "n", *keep], x=around)
 
 
 def by_language(languages: Sequence[str], of: Callable[[str], str], other: str) -> str:
@@ -152,13 +152,13 @@ NO_HITS = f"CAST(array() AS array<{HIT}>)"
 MEASURES = ("names", "name_bytes", "single_names", "underscores", "camel_names", "snake_names", "short_words", "fn_names", "fn_bytes")
 
 
-def features(lines: DataFrame, languages: Sequence[str] = LANGUAGES) -> DataFrame:
+def features(lines: DataFrame, languages: Sequence[str] = LANGUAGES, keep: Sequence[str] = ()) -> DataFrame:
     """unit_id, path, language, n, the bits ``b`` of every line, and every measurement, one row a unit."""
     none = "CAST(array() AS array<string>)"
     imports = lambda x: f"transform(filter(x, e -> {IMPORTS[x].spark}), e -> e.{'t' if x == 'rust' else 'l'})"
     wide = once(
         lines,
-        ["unit_id", "path", "language", "n"],
+        ["unit_id", "path", "language", "n", *keep],
         b=by_language(languages, _bits, "CAST(array() AS array<bigint>)"),
         name_list=by_language(languages, lambda x: _spark_names(NAMES[x]), none),
         fn_list=by_language([x for x in languages if x == "rust"], lambda x: _spark_names(FN_NAMES), none) if "rust" in languages else none,
@@ -170,7 +170,7 @@ def features(lines: DataFrame, languages: Sequence[str] = LANGUAGES) -> DataFram
     marks = {x: 1 << len(COUNTS[x]) for x in languages}
     return once(
         wide,
-        ["unit_id", "path", "language", "n", "b", "derive_commas", "name_list", "fn_list", "run_list"],
+        ["unit_id", "path", "language", "n", *keep, "b", "derive_commas", "name_list", "fn_list", "run_list"],
         first_def=by_language(languages, lambda x: f"int(array_position(transform(b, v -> v & {marks[x]}L <> 0), true) - 1)", "-1"),
         defs=by_language(languages, lambda x: f"size(filter(b, v -> v & {1 << list(COUNTS[x]).index('defs')}L <> 0))", "0"),
         **{k: f"int({measures[k]})" for k in MEASURES},
@@ -181,12 +181,12 @@ def features(lines: DataFrame, languages: Sequence[str] = LANGUAGES) -> DataFram
     )
 
 
-def hits(units: DataFrame, analyzers: tuple[str, ...] | None = None, languages: tuple[str, ...] = LANGUAGES) -> DataFrame:
+def hits(units: DataFrame, analyzers: tuple[str, ...] | None = None, languages: tuple[str, ...] = LANGUAGES, keep: Sequence[str] = ()) -> DataFrame:
     """unit_id, path, language, n and the array ``hits`` of fired signals: id, family, tenths. Units of other languages are left out."""
-    lines = with_lines(units)
+    lines = with_lines(units, keep)
     if set(languages) != set(LANGUAGES):
         lines = lines.where(F.coalesce("language", F.lit("rust")).isin(*languages))
-    return once(features(lines, languages), ["unit_id", "path", "language", "n"], hits=by_language(languages, lambda x: _fired(x, analyzers), NO_HITS))
+    return once(features(lines, languages, keep), ["unit_id", "path", "language", "n", *keep], hits=by_language(languages, lambda x: _fired(x, analyzers), NO_HITS))
 
 
 def signals(units: DataFrame, analyzers: tuple[str, ...] | None = None, languages: tuple[str, ...] = LANGUAGES) -> DataFrame:
