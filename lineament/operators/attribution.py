@@ -99,28 +99,6 @@ def metric_signals(metrics: DataFrame) -> DataFrame:
     return metrics.join(F.broadcast(rules), ["language", "metric"]).where(holds & (F.col("most").isNull() | (v <= F.col("most")))).select("unit_id", "id")
 
 
-def report_json(verdicts: DataFrame) -> DataFrame:
-    display = F.create_map(*[F.lit(x) for f in FAMILIES for x in (f, DISPLAY[f])])
-    return verdicts.select(
-        "unit_id",
-        F.to_json(
-            F.struct(
-                F.struct("primary", "confidence", F.struct(*[F.col(f"share_{f}").alias(f) for f in FAMILIES]).alias("scores")).alias("attribution"),
-                F.struct(F.col("path").alias("file_path"), F.col("n").alias("lines_of_code"), "signal_count").alias("metadata"),
-                display[F.col("primary")].alias("verdict"),
-            )
-        ).alias("report"),
-    )
-
-
-def report_text(verdicts: DataFrame) -> DataFrame:
-    """A short text: verdict or insufficient data, then families by percent (ties by name)."""
-    lines = F.array_sort(F.array(*[F.struct((-F.floor(F.col(f"share_{f}") * 100 + 0.5)).cast("long").alias("p"), F.lit(DISPLAY[f]).alias("name")) for f in FAMILIES]))
-    shown = F.array_join(F.transform(lines, lambda x: F.concat(x["name"], F.lit(" "), (-x["p"]).cast("string"), F.lit("%"))), ", ")
-    head = F.when(F.col("confidence") > 0, F.concat(F.lit("Verdict: "), F.col("primary"))).otherwise(F.lit("Insufficient data"))
-    return verdicts.select("unit_id", F.concat(head, F.lit("; lines "), F.col("n").cast("string"), F.lit("; "), shown).alias("report"))
-
-
 # DuckDB. ---------------------------------------------------------------------
 
 

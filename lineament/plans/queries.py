@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lineament.functions.portable import duck_text
 from lineament.operators import attribution as at
-from lineament.operators import detect, markov, tables
+from lineament.operators import detect, markov, reports, syntax, tables
 from lineament.plans.catalogue import ANALYZERS, DISPLAY, FAMILIES, LANGUAGES, METRIC_RULES, SIGNALS
 from lineament.plans.corpus import CODE_SQL, TEXT_SQL, code_units, text_units
 from lineament.streaming import watch
@@ -205,14 +205,87 @@ def metric_rules(spark, d):
     return at.metric_signals(rows.select("unit_id", "m.*"))
 
 
-@register("report_json")
+def text_reports(spark, d):
+    return reports.reported(detect.signals(text_units(spark, d), languages=("rust",)), at.attributed)
+
+
+_HITS = "h AS (SELECT unit_id, list({'id': id, 'source': analyzer, 'description': replace(split_part(id, '.', 3), '_', ' '), 'family': family, 'weight': tenths / 10.0::DOUBLE} ORDER BY k) AS signals FROM (SELECT unit_id, unnest(signals) AS id, generate_subscripts(signals, 1) AS k FROM sg) JOIN " + at.CATALOGUE_SQL + " USING (id) GROUP BY unit_id)"
+_SCORES = ", ".join(f"'{f}': share_{f}" for f in FAMILIES)
+_NO_SIGNALS = "[]::STRUCT(id VARCHAR, source VARCHAR, description VARCHAR, family VARCHAR, weight DOUBLE)[]"
+_REPORTS = f"{TEXT_VERDICTS}, {_HITS}, rp AS (SELECT unit_id, path, n::INT AS n, signal_count, primary_family, confidence, {SHARES}, coalesce(signals, {_NO_SIGNALS}) AS signals FROM v LEFT JOIN h USING (unit_id))"
+
+
+@register("report_json", f"{_REPORTS} SELECT unit_id, to_json({{'attribution': {{'primary': primary_family, 'confidence': confidence, 'scores': {{{_SCORES}}}}}, 'signals': signals, 'metadata': {{'file_path': path, 'lines_of_code': n, 'signal_count': signal_count}}}})::VARCHAR AS report FROM rp")
 def report_json(spark, d):
-    return at.report_json(text_verdicts(spark, d))
+    return reports.as_json(text_reports(spark, d))
 
 
-@register("report_text")
+_NAME = "CASE {0} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in DISPLAY.items()) + " END"
+_PM = "floor((round({0} * 1000000) + 500) / 1000)::INT"
+_SCORE_LINES = " UNION ALL ".join(f"SELECT unit_id, share_{f} AS share, '{DISPLAY[f]}' AS name FROM rp" for f in FAMILIES)
+
+
+@register("report_text", f"""{_REPORTS}, sc AS (SELECT unit_id, string_agg('  ' || rpad(name, 10, ' ') || ' ' || ({_PM.format('share')} // 10) || '.' || ({_PM.format('share')} % 10) || '%', chr(10) ORDER BY share DESC, name) AS scores FROM ({_SCORE_LINES}) GROUP BY unit_id)
+SELECT unit_id, CASE WHEN path IS NULL THEN '' ELSE 'File: ' || path || chr(10) END || 'Verdict: ' || CASE WHEN confidence > 0 THEN {_NAME.format('primary_family')} || ' (' || floor((round(confidence * 1000000) + 5000) / 10000)::INT || '% confidence)' ELSE 'Insufficient data' END || chr(10)
+ || 'Lines: ' || n || ' | Signals: ' || signal_count || chr(10) || chr(10) || 'Scores:' || chr(10) || scores || chr(10)
+ || CASE WHEN len(signals) = 0 THEN '' ELSE chr(10) || 'Signals:' || chr(10) || array_to_string(list_transform(signals, lambda g: '  [' || rpad(g.source, 10, ' ') || '] ' || CASE WHEN g.weight >= 0 THEN '+' ELSE '' END || printf('%.1f', g.weight) || ' ' || {_NAME.format('g.family')} || ' — ' || g.description), chr(10)) || chr(10) END AS report FROM rp JOIN sc USING (unit_id)""")
 def report_text(spark, d):
-    return at.report_text(text_verdicts(spark, d))
+    return reports.as_text(text_reports(spark, d))
+
+
+@register("report_pretty")
+def report_pretty(spark, d):
+    return reports.as_pretty(text_reports(spark, d))
+
+
+@register("report_round_trip", f"{_REPORTS} SELECT unit_id, primary_family AS \"primary\", confidence, len(signals)::INT AS signals, n AS lines_of_code FROM rp")
+def report_round_trip(spark, d):
+    return reports.from_json(reports.as_json(text_reports(spark, d))).select("unit_id", "report.attribution.primary", "report.attribution.confidence", F.size("report.signals").alias("signals"), "report.metadata.lines_of_code")
+
+
+@register("colour_lookup", "SELECT * FROM (VALUES " + ", ".join(f"('{f}', '{DISPLAY[f]}', '{c}', {r}, {g}, {b}, printf('#%02x%02x%02x', {r}, {g}, {b}))" for f, (c, (r, g, b)) in reports.COLOURS.items()) + ") v(family, name, terminal, red, green, blue, hex)")
+def colour_lookup(spark, d):
+    return reports.colours(spark)
+
+
+# Syntax: metrics, symbols, node sequences, and verdicts with metric rules. ------------
+
+
+def full_verdicts(spark, d):
+    return at.attributed(syntax.signals(code_units(spark, d)))
+
+
+@register("attribution_full")
+def attribution_full(spark, d):
+    """All 232 rules: text rules, and metric rules over the sources' own syntax."""
+    return full_verdicts(spark, d)
+
+
+def _syntax(language: str) -> None:
+    @register(f"cst_metrics_{language}")
+    def run_metrics(spark, d):
+        return syntax.metrics(code_units(spark, d)).where(F.col("language") == language)
+
+    @register(f"symbols_{language}")
+    def run_symbols(spark, d):
+        units = code_units(spark, d)
+        return syntax.symbols(units.where(detect.language_of(F.col("path")) == language))
+
+
+for _l in LANGUAGES:
+    _syntax(_l)
+
+
+@register("symbol_reports")
+def symbol_reports(spark, d):
+    """A verdict for each symbol, by the rules of its file's language."""
+    v = at.attributed(detect.signals(syntax.symbol_units(code_units(spark, d))))
+    return v.select("unit_id.*", "path", "n", "signal_count", "primary", "confidence")
+
+
+@register("node_sequences")
+def node_sequences(spark, d):
+    return syntax.sequences(code_units(spark, d))
 
 
 # Trees, rollups, ignore rules, tools. --------------------------------------------
