@@ -60,6 +60,22 @@ def scratch(spark: SparkSession) -> str:
     return sc._lineament_scratch
 
 
+#: Bytes of an Arrow batch while a table is written.
+BATCH_BYTES = 8 << 20
+
+
+@contextlib.contextmanager
+def short_batches(spark: SparkSession) -> Iterator[None]:
+    """For one action: Arrow batches of at most BATCH_BYTES. The session's own bound is there again afterwards."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 class Cut:
     """A table written to the shared folder and read again.
 
@@ -73,7 +89,8 @@ class Cut:
         self.spark = df.sparkSession
         self.path = f"{scratch(self.spark)}/{name}-{uuid.uuid4().hex}"
         Cut.left[self.path] = self
-        df.write.parquet(self.path)
+        with short_batches(self.spark):
+            df.write.parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:

@@ -164,7 +164,8 @@ def links(fingerprints: DataFrame, bucket_rows: int = BUCKET_ROWS) -> tuple[Data
     spark = fingerprints.sparkSession
     ship(spark)
     # Some 180 keys follow from each of these few bytes: dealt out before, so that no task makes many of them.
-    shares = fingerprints.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "fp")
+    # (By a hash of their own: Spark would take a repartition by "fp" for the one that made them distinct.)
+    shares = fingerprints.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("fp"))
     keyed = Cut(enrich(shares, "fp", factory, [StructField("keys", ArrayType(LongType()))], ["fp"]), "simhash-keys")
     rows = keyed.df.select(F.explode("keys").alias("key"), "fp")
     # One row for each bucket of more than a block, so few that Spark mostly sends them to the keys.
