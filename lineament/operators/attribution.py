@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from lineament.operators.detect import once
 from lineament.plans.catalogue import DISPLAY, FAMILIES, METRIC_RULES, SIGNALS
 
+#: Overrides that a configuration may hold.
+MOST_OVERRIDES = 10_000
 #: Families from the greatest displayed name down: the order in which ties fall.
 ORDER = sorted(FAMILIES, key=lambda f: DISPLAY[f], reverse=True)
 
@@ -65,18 +67,27 @@ def weighted(signals: DataFrame, overrides: DataFrame | None = None) -> DataFram
 
 
 def scored_with(signals: DataFrame, overrides: DataFrame) -> DataFrame:
-    """Verdicts under overrides; every unit stays, weights are rounded to tenths."""
-    counted = weighted(signals, overrides).groupBy("unit_id").agg(*[F.sum(F.when(F.col("family") == f, F.round(F.col("weight") * 10).cast("long")).otherwise(F.lit(0))).alias(f"t_{f}") for f in FAMILIES])
-    rows = signals.select("unit_id").join(counted, "unit_id", "left").na.fill(0)
-    return verdict(rows, ["unit_id"])
+    """Verdicts under overrides; every unit stays, weights are rounded to tenths.
 
+    Each unit is one row throughout: overrides, which come from a configuration file, become a constant map."""
+    given = ", ".join(f"'{r.id}', {round(r.weight * 10)}" for r in overrides.select("id", F.col("weight").cast("double").alias("weight")).limit(MOST_OVERRIDES + 1).collect())
+    if given.count(",") > 2 * MOST_OVERRIDES:
+        raise ValueError(f"more than {MOST_OVERRIDES} overrides")
+    known = f"element_at(map({given}), h.id)" if given else "NULL"
+    hits = once(signals, ["unit_id"], hits=f"transform(hits, h -> named_struct('id', h.id, 'family', h.family, 'tenths', coalesce({known}, h.tenths)))")
+    return verdict(once(hits, ["unit_id"], **family_tenths()), ["unit_id"])
 
-def blended(one: DataFrame, other: DataFrame, blend: float) -> DataFrame:
-    """(1 - b) of one's shares and b of the other's, b clamped to 0..1, and the verdict anew."""
+
+def mixed(rows: DataFrame, blend: float) -> DataFrame:
+    """(1 - b) of share_<family> and b of o_<family> in one row, b clamped to 0..1, and the verdict anew."""
     b = min(1.0, max(0.0, blend))
+    return with_primary(rows.select("unit_id", *[F.round(F.col(f"share_{f}") * (1 - b) + F.col(f"o_{f}") * b, 8).alias(f"share_{f}") for f in FAMILIES]))
+
+
+def blended(one: DataFrame, other: DataFrame, blend: float) -> DataFrame:
+    """The same where the other shares are another table's, joined by unit."""
     o = other.select("unit_id", *[F.col(f"share_{f}").alias(f"o_{f}") for f in FAMILIES])
-    mixed = one.join(o, "unit_id").select("unit_id", *[F.round(F.col(f"share_{f}") * (1 - b) + F.col(f"o_{f}") * b, 8).alias(f"share_{f}") for f in FAMILIES])
-    return with_primary(mixed)
+    return mixed(one.join(o, "unit_id"), blend)
 
 
 def gate(verdicts: DataFrame, allowed: list[str]) -> DataFrame:

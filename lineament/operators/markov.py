@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
-from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, NaiveBayes
-from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,24 +47,70 @@ def accuracy(pairs: DataFrame, label: str, predicted: str) -> DataFrame:
 
 
 def stratified(df: DataFrame, key: Column, label: str, ratio: float = 0.2) -> DataFrame:
-    """Adds ``test``: of each class, max(1, round(n * ratio)) rows but never all, by a keyed hash."""
-    order = Window.partitionBy(label).orderBy(F.md5(key.cast("string")), key)
-    n = F.count(F.lit(1)).over(Window.partitionBy(label))
-    take = F.least(F.greatest(F.floor(n * ratio + 0.5), F.lit(1)), n - 1)
-    return df.select("*", (F.row_number().over(order) <= take).alias("test"))
-
-
-def ensemble(train: DataFrame, features: list[str], label: str) -> list:
-    """Logistic regression, naive Bayes and a decision tree over non-negative features."""
-    stages = [StringIndexer(inputCol=label, outputCol="_y", stringOrderType="alphabetAsc", handleInvalid="keep"), VectorAssembler(inputCols=features, outputCol="_x")]
-    kinds = (LogisticRegression(family="multinomial", maxIter=100), NaiveBayes(modelType="multinomial"), DecisionTreeClassifier(maxDepth=10))
-    return [Pipeline(stages=[*stages, k.setFeaturesCol("_x").setLabelCol("_y")]).fit(train) for k in kinds]
-
-
-def ensemble_votes(models: list, rows: DataFrame, key: str) -> DataFrame:
-    out = None
-    for model in models:
-        labels = F.lit(list(model.stages[0].labels))
-        one = model.transform(rows).select(F.col(key).alias("unit_id"), F.element_at(labels, (F.col("prediction") + 1).cast("int")).alias("family"), F.lit(1.0).alias("weight"))
-        out = one if out is None else out.unionByName(one)
-    return voted(out)
+    """Adds ``test``: of each class, max(1, round(n * ratio)) rows but never all, by a keyed hash.
+
+    Rows are ranked within blocks of the hash's first three digits, and blocks by their counts,
+    so that no class is gathered in one task."""
+    hashed = df.withColumn("_h", F.md5(key.cast("string"))).withColumn("_block", F.substring("_h", 1, 3))
+    blocks = hashed.groupBy(label, "_block").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(label).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = blocks.select(F.col(label).alias("_label"), F.col("_block").alias("_b"), before.alias("_before"), F.sum("_n").over(Window.partitionBy(label)).alias("_all"))
+    inside = F.row_number().over(Window.partitionBy(label, "_block").orderBy("_h", key))
+    ranked = hashed.withColumn("_inside", inside).join(placed, F.col(label).eqNullSafe(F.col("_label")) & (F.col("_block") == F.col("_b")))
+    take = F.least(F.greatest(F.floor(F.col("_all") * ratio + 0.5), F.lit(1)), F.col("_all") - 1)
+    return ranked.select(*df.columns, (F.col("_before") + F.col("_inside") <= take).alias("test"))
+
+
+# Orders one to three by language, with back-off. ------------------------------------
+
+UNKNOWN = "<UNK>"
+
+
+def encoded(sequences: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """Tokens that the vocabulary (token) does not have become UNKNOWN. A vocabulary has a row a kind of token."""
+    known = vocabulary.select("token", F.lit(True).alias("_known"))
+    return sequences.join(known, "token", "left").withColumn("token", F.when(F.col("_known"), F.col("token")).otherwise(F.lit(UNKNOWN))).drop("_known")
+
+
+def ngrams(sequences: DataFrame, orders: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
+    """language, family, seq_id, order, context (tokens joined by commas) and next, one row a place.
+
+    Input: language, family, seq_id, pos, token."""
+    along = Window.partitionBy("seq_id").orderBy("pos")
+    ahead = [F.col("token"), *(F.lead("token", k).over(along) for k in range(1, max(orders) + 1))]
+    rows = sequences.select("language", "family", "seq_id", *[a.alias(f"t{k}") for k, a in enumerate(ahead)])
+    each = [F.when(F.col(f"t{k}").isNotNull(), F.struct(F.lit(k).alias("order"), F.concat_ws(",", *[f"t{i}" for i in range(k)]).alias("context"), F.col(f"t{k}").alias("next"))) for k in orders]
+    return rows.select("language", "family", "seq_id", F.explode(F.array_compact(F.array(*each))).alias("g")).select("language", "family", "seq_id", "g.*")
+
+
+def trained_orders(grams: DataFrame, size: int, alpha: float = 0.5) -> DataFrame:
+    """language, family, order, context, next, count, total and prob, smoothed over ``size`` tokens (UNKNOWN among them)."""
+    counts = grams.groupBy("language", "family", "order", "context", "next").agg(F.count(F.lit(1)).alias("count"))
+    totals = counts.groupBy("language", "family", "order", "context").agg(F.sum("count").alias("total"))
+    rows = counts.join(totals, ["language", "family", "order", "context"])
+    return rows.select("language", "family", "order", "context", "next", "count", "total", ((F.col("count") + alpha) / (F.col("total") + alpha * size)).alias("prob"))
+
+
+def backed_off(sequences: DataFrame, model: DataFrame, size: int) -> DataFrame:
+    """seq_id, family, order and prob of every family that the sequence's language has models of.
+
+    A family speaks by its highest order whose likelihood is not zero: zero says that the
+    sequence is too short. If none speaks, all are equally likely."""
+    orders = tuple(range(1, 4))
+    spoken = ngrams(sequences.withColumn("family", F.lit(None).cast("string")), orders).drop("family")
+    counted = spoken.groupBy("language", "seq_id", "order", "context", "next").agg(F.count(F.lit(1)).alias("times"))
+    families = model.select("language", "family", "order").distinct()
+    rows = counted.join(families, ["language", "order"])
+    contexts = model.groupBy("language", "family", "order", "context").agg(F.sum("prob").alias("mass"), F.count(F.lit(1)).alias("seen"))
+    keys = ["language", "family", "order", "context"]
+    known = rows.join(contexts, keys, "left").join(model.select(*keys, "next", "prob"), [*keys, "next"], "left")
+    rest = F.greatest((1 - F.col("mass")) / F.greatest(F.lit(size) - F.col("seen"), F.lit(1)), F.lit(2.2250738585072014e-308))
+    lp = F.when(F.col("mass").isNull(), F.log(F.lit(1.0 / size))).otherwise(F.log(F.coalesce("prob", rest)))
+    ll = known.groupBy("seq_id", "family", "order").agg(F.sum(F.col("times") * lp).alias("ll")).where("ll <> 0")
+    best = ll.groupBy("seq_id", "family").agg(F.max(F.struct("order", "ll")).alias("b"))
+    every = sequences.select("seq_id", "language").distinct().join(families.select("language", "family").distinct(), "language")
+    scored = every.join(best, ["seq_id", "family"], "left").select("seq_id", "family", F.col("b.order").alias("order"), F.col("b.ll").alias("ll"))
+    tops = scored.groupBy("seq_id").agg(F.max("ll").alias("top"), F.count(F.lit(1)).alias("n"))
+    weighed = scored.join(tops, "seq_id").withColumn("e", F.when(F.col("top").isNull(), 1 / F.col("n")).otherwise(F.coalesce(F.exp(F.col("ll") - F.col("top")), F.lit(0.0))))
+    total = weighed.groupBy("seq_id").agg(F.sum("e").alias("sum"))
+    return weighed.join(total, "seq_id").select("seq_id", "family", "order", (F.col("e") / F.col("sum")).alias("prob"))

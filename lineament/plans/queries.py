@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lineament.functions.portable import duck_text
 from lineament.operators import attribution as at
-from lineament.operators import detect, markov, reports, syntax, tables
+from lineament.operators import detect, learning, markov, reports, syntax, tables
 from lineament.plans.catalogue import ANALYZERS, DISPLAY, FAMILIES, LANGUAGES, METRIC_RULES, SIGNALS
 from lineament.plans.corpus import CODE_SQL, TEXT_SQL, code_units, text_units
 from lineament.streaming import watch
@@ -184,9 +184,8 @@ def unknown_id_weight(spark, d):
 
 @register("blend_scores", f"{CODE_VERDICTS}, w AS (SELECT unit_id, {', '.join(f'CASE WHEN unit_id % 5 = {k} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS m_{f}' for k, f in enumerate(FAMILIES))} FROM u), b AS (SELECT unit_id, {', '.join(f'round(share_{f} * 0.75 + m_{f} * 0.25, 8) AS share_{f}' for f in FAMILIES)} FROM v JOIN w USING (unit_id)) SELECT unit_id, {SHARES}, {at.primary_sql().replace('primary_family', chr(34) + 'primary' + chr(34))} FROM b")
 def blend_scores(spark, d):
-    v = code_verdicts(spark, d)
-    other = v.select("unit_id", *[F.when(F.col("unit_id") % 5 == k, F.lit(1.0)).otherwise(F.lit(0.0)).alias(f"share_{f}") for k, f in enumerate(FAMILIES)])
-    return at.blended(v, other, 0.25)
+    given = [F.when(F.col("unit_id") % 5 == k, F.lit(1.0)).otherwise(F.lit(0.0)).alias(f"o_{f}") for k, f in enumerate(FAMILIES)]
+    return at.mixed(code_verdicts(spark, d).select("*", *given), 0.25)
 
 
 @register("assert_family_gate", f"{CODE_VERDICTS} SELECT unit_id, primary_family AS \"primary\" FROM v WHERE signal_count > 0 AND primary_family NOT IN ('claude', 'human')")
@@ -462,11 +461,9 @@ _VOTES = "SELECT unit_id, primary_family AS family, 2.0::DOUBLE AS weight FROM v
 
 @register("ensemble_vote", f"{CODE_VERDICTS}, x AS ({_VOTES}) SELECT unit_id, family, round(sum(weight) / 3.0, 6) AS share FROM x GROUP BY ALL")
 def ensemble_vote(spark, d):
-    v = code_verdicts(spark, d)
-    one = v.select("unit_id", F.col("primary").alias("family"), F.lit(2.0).alias("weight"))
-    other = v.select("unit_id", F.element_at(F.lit(list(FAMILIES)), (F.col("unit_id") % 5 + 1).cast("int")).alias("family"), F.lit(1.0).alias("weight"))
-    both = one.unionByName(other).groupBy("unit_id", "family").agg(F.sum("weight").alias("weight"))
-    return markov.voted(both)
+    other = F.element_at(F.lit(list(FAMILIES)), (F.col("unit_id") % 5 + 1).cast("int"))
+    votes = F.array(F.struct(F.col("primary").alias("family"), F.lit(2.0).alias("weight")), F.struct(other.alias("family"), F.lit(1.0).alias("weight")))
+    return markov.voted(code_verdicts(spark, d).select("unit_id", F.explode(votes).alias("v")).select("unit_id", "v.*"))
 
 
 @register("accuracy", f"{CODE_VERDICTS} SELECT round(avg(CASE WHEN primary_family = ['claude','gpt','gemini','copilot','human'][unit_id % 5 + 1] THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS accuracy FROM v")
@@ -489,15 +486,73 @@ def feature_vector(spark, d):
     return s.select("unit_id", F.concat(*[F.when(F.array_contains("signals", i), F.lit("1")).otherwise(F.lit("0")) for i in sorted(_IDS)]).alias("vector"))
 
 
+def code_features(spark, d):
+    """Features of code units with all rules and metrics, labelled by the text rules' verdict."""
+    signals = syntax.signals(code_units(spark, d))
+    labelled = at.attributed(signals, ("unit_id", "path", "n", "language", "hits", "metrics")).where("signal_count > 0")
+    return learning.extracted(labelled).join(labelled.select("unit_id", "primary"), "unit_id")
+
+
 @register("trained_ensemble")
 def trained_ensemble(spark, d):
-    """Votes of three fitted models on the texts' counts, trained to tell languages apart."""
-    docs = read(spark, d, "documents")
-    rows = docs.select("doc_id", "lang", *[F.length(F.regexp_replace(F.coalesce("text", F.lit("")), f"[^{c}]", "")).cast("double").alias(f"c{i}") for i, c in enumerate(("e", "ñ", "ü", "é", "th", "o"))])
-    # Fitted on at most 5,000 rows, those with the smallest hashes; all rows are voted on.
-    train = rows.where("lang IS NOT NULL").orderBy(F.xxhash64("doc_id"), "doc_id").limit(5000)
-    names = [f"c{i}" for i in range(6)]
-    return markov.ensemble_votes(markov.ensemble(train, names, "lang"), rows.na.fill(0.0, names), "doc_id")
+    """Votes of three models fitted on the features of code units (at most MOST_ROWS of them)."""
+    rows = code_features(spark, d)
+    return learning.fit(rows, "primary").votes(rows)
+
+
+@register("rescored_verdicts")
+def rescored_verdicts(spark, d):
+    """Verdicts blended with what the fitted models say of the same units."""
+    rows = code_features(spark, d)
+    model = learning.rescored(learning.fit(rows, "primary").votes(rows))
+    return at.blended(full_verdicts(spark, d), model, 0.25)
+
+
+_RAW_VOTES = [(1, "claude", 0.5), (1, "martian", 0.5), (2, "GPT", 0.25), (2, "human", 0.25), (2, "other", 0.5), (3, "other", 1.0), (4, "gemini", 1.0)]
+
+
+@register("rescore_residual", "SELECT * FROM (VALUES (1::BIGINT, 1.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 'claude', 1.0::DOUBLE), (2, 0, 0.25, 0, 0, 0.75, 'human', 0.75), (3, 0, 0, 0, 0, 1, 'human', 1), (4, 0, 0, 1, 0, 0, 'gemini', 1)) v(unit_id, share_claude, share_gpt, share_gemini, share_copilot, share_human, \"primary\", confidence)")
+def rescore_residual(spark, d):
+    return learning.rescored(spark.createDataFrame(_RAW_VOTES, "unit_id long, family string, share double"))
+
+
+@register("feature_map", "WITH " + detect.signals_sql(TEXT_SQL, None, ("rust",)) + f" SELECT unit_id, id AS name, tenths / 10.0::DOUBLE AS value FROM (SELECT unit_id, unnest(signals) AS id FROM sg) JOIN {at.CATALOGUE_SQL} USING (id)")
+def feature_map(spark, d):
+    rows = learning.extracted(detect.signals(text_units(spark, d), languages=("rust",)))
+    return rows.select("unit_id", F.explode("features").alias("name", "value"))
+
+
+def spoken(spark, d):
+    return sequences(spark, d).select(F.concat(F.lit("l"), (F.col("seq_id") % 2).cast("string")).alias("language"), F.col("family").cast("string").alias("family"), "seq_id", "pos", "token")
+
+
+_W = "PARTITION BY user_id ORDER BY ts, event_id"
+_GRAMS = f"""e AS (SELECT 'l' || user_id % 2 AS language, (user_id % 5)::VARCHAR AS family, user_id AS seq_id, event_type AS t0, lead(event_type, 1) OVER ({_W}) AS t1, lead(event_type, 2) OVER ({_W}) AS t2, lead(event_type, 3) OVER ({_W}) AS t3 FROM events),
+g AS (SELECT language, family, seq_id, 1 AS ord, t0 AS context, t1 AS nxt FROM e WHERE t1 IS NOT NULL UNION ALL SELECT language, family, seq_id, 2, t0 || ',' || t1, t2 FROM e WHERE t2 IS NOT NULL UNION ALL SELECT language, family, seq_id, 3, t0 || ',' || t1 || ',' || t2, t3 FROM e WHERE t3 IS NOT NULL),
+c AS (SELECT language, family, ord, context, nxt, count(*) AS k FROM g GROUP BY ALL), z AS (SELECT count(DISTINCT event_type) + 1 AS v FROM events),
+m AS (SELECT *, (k + 0.5::DOUBLE) / (total + 0.5::DOUBLE * v) AS prob FROM (SELECT *, (sum(k) OVER (PARTITION BY language, family, ord, context))::BIGINT AS total FROM c), z)"""
+
+
+@register("ngram_counts", f"WITH {_GRAMS} SELECT language, family, ord AS \"order\", context, nxt AS next, k AS count, total, round(prob, 6) AS prob FROM m")
+def ngram_counts(spark, d):
+    s = spoken(spark, d)
+    size = s.select("token").distinct().count() + 1
+    return markov.trained_orders(markov.ngrams(s), size).withColumn("prob", F.round("prob", 6))
+
+
+@register("markov_backoff", f"""WITH {_GRAMS}, b AS (SELECT language, family, ord, context, sum(prob) AS mass, count(*) AS seen FROM m GROUP BY ALL), f AS (SELECT DISTINCT language, family, ord FROM m),
+q AS (SELECT language, seq_id, ord, context, nxt, count(*) AS times FROM g GROUP BY ALL),
+l AS (SELECT seq_id, f.family, ord, sum(times * CASE WHEN mass IS NULL THEN ln(1.0::DOUBLE / v) ELSE ln(coalesce(prob, greatest((1 - mass) / greatest(v - seen, 1), 2.2250738585072014e-308))) END) AS ll
+  FROM q JOIN f USING (language, ord) CROSS JOIN z LEFT JOIN b USING (language, family, ord, context) LEFT JOIN (SELECT language, family, ord, context, nxt, prob FROM m) m USING (language, family, ord, context, nxt) GROUP BY ALL),
+t AS (SELECT seq_id, family, max(ord) AS ord, arg_max(ll, ord) AS ll FROM l WHERE ll <> 0 GROUP BY ALL),
+a AS (SELECT seq_id, f.family, t.ord, t.ll FROM (SELECT DISTINCT seq_id, language FROM e) JOIN (SELECT DISTINCT language, family FROM f) f USING (language) LEFT JOIN t USING (seq_id, family)),
+x AS (SELECT *, max(ll) OVER w AS top, count(*) OVER w AS n FROM a WINDOW w AS (PARTITION BY seq_id)),
+y AS (SELECT *, CASE WHEN top IS NULL THEN 1.0::DOUBLE / n ELSE coalesce(exp(ll - top), 0) END AS e FROM x)
+SELECT seq_id, family, ord AS "order", round(e / sum(e) OVER (PARTITION BY seq_id), 6) AS prob FROM y""")
+def markov_backoff(spark, d):
+    s = spoken(spark, d)
+    size = s.select("token").distinct().count() + 1
+    return markov.backed_off(s, markov.trained_orders(markov.ngrams(s), size), size).withColumn("prob", F.round("prob", 6))
 
 
 # Watching. ---------------------------------------------------------------------------------
