@@ -343,7 +343,7 @@ def catalogue_family_counts(spark, d):
 
 # Hashes, caches, stores. -----------------------------------------------------------
 
-_HASH = f"sha256('{tables.EPOCH}' || coalesce(text, ''))"
+_HASH = f"sha256('{tables.EPOCH}' || chr(10) || chr(10) || chr(10) || coalesce(text, ''))"
 
 
 def hashed(spark, d):
@@ -390,6 +390,27 @@ def merkle_dirs(spark, d):
     return tables.merkle(code_units(spark, d).select("path", F.sha2("source", 256).alias("hash")))
 
 
+@register("changed_dirs", _MERKLE.replace("sha256(source)", "sha256(CASE WHEN unit_id % 1000 = 0 THEN '' ELSE source END)").replace("SELECT * FROM k2 UNION ALL SELECT * FROM k1 UNION ALL SELECT * FROM k0", "SELECT DISTINCT dir, 'changed' AS change FROM (SELECT unnest(['', 'src', 'src/' || b]) AS dir FROM (SELECT string_split(path, '/')[2] AS b FROM (" + CODE_SQL + ") WHERE unit_id % 1000 = 0))"))
+def changed_dirs(spark, d):
+    """Directories that differ after every thousandth file was emptied."""
+    units = code_units(spark, d)
+    now = units.select("path", F.sha2(F.when(F.col("unit_id") % 1000 == 0, "").otherwise(F.col("source")), 256).alias("hash"))
+    return tables.changed_dirs(tables.merkle(now), tables.merkle(units.select("path", F.sha2("source", 256).alias("hash"))))
+
+
+@register("flat_tree", f"""{CODE_VERDICTS}, e AS (SELECT unnest(['src', 'src/' || string_split(path, '/')[2]]) AS dir, primary_family AS p, greatest(n, 1) AS loc, round(confidence * 1000000)::BIGINT * greatest(n, 1) AS w FROM v), g AS (SELECT dir, sum(loc)::BIGINT AS loc, {', '.join(f"sum(CASE WHEN p = '{f}' THEN w ELSE 0 END)::BIGINT AS w_{f}" for f in FAMILIES)} FROM e GROUP BY dir),
+t AS (SELECT dir AS path, true AS is_dir, CASE {' '.join(f"WHEN w_{f} = {_BEST} THEN '{f}' " for f in _DISPLAY_ORDER)} END AS "primary", round({_BEST} / loc::DOUBLE / 1000000, 4) AS confidence FROM g UNION ALL SELECT path, false, primary_family, confidence FROM v)
+SELECT path, string_split(path, '/')[-1] AS name, (len(string_split(path, '/')) - 1)::INT AS depth, is_dir, "primary", confidence FROM t""")
+def flat_tree(spark, d):
+    return tables.walked(code_verdicts(spark, d))
+
+
+@register("tree_at_commits", f"""{CODE_VERDICTS}, x AS (SELECT unit_id % 7 AS commit, * FROM v), g AS (SELECT commit, sum(greatest(n, 1))::BIGINT AS loc, count(*) AS files, {', '.join(f"sum(CASE WHEN primary_family = '{f}' THEN round(confidence * 1000000)::BIGINT * greatest(n, 1) ELSE 0 END)::BIGINT AS w_{f}" for f in FAMILIES)} FROM x GROUP BY commit)
+SELECT commit, files, CASE {' '.join(f"WHEN w_{f} = {_BEST} THEN '{f}' " for f in _DISPLAY_ORDER)} END AS "primary", round({_BEST} / loc::DOUBLE / 1000000, 4) AS confidence FROM g""")
+def tree_at_commits(spark, d):
+    return tables.at_commits(code_verdicts(spark, d).withColumn("commit", F.col("unit_id") % 7))
+
+
 # Histories. -------------------------------------------------------------------------
 
 
@@ -397,7 +418,7 @@ def turn_units(spark, d):
     return read(spark, d, "conversations").select(F.struct(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn")).alias("unit_id"), F.lit(None).cast("string").alias("path"), F.col("text").alias("source"))
 
 
-TURN_SQL = "SELECT conv_id * 1000 + turn AS unit_id, CAST(NULL AS VARCHAR) AS path, text AS source FROM conversations"
+TURN_SQL = "SELECT {'c': conv_id, 't': turn} AS unit_id, CAST(NULL AS VARCHAR) AS path, text AS source FROM conversations"
 _TURNS = verdict_query(TURN_SQL, ("rust",))
 
 
@@ -406,12 +427,12 @@ def turn_verdicts(spark, d):
     return v.select(F.col("unit_id.conv_id").alias("path"), F.col("unit_id.turn").alias("turn"), "primary", "confidence")
 
 
-@register("history_delta", f"{_TURNS}, h AS (SELECT unit_id // 1000 AS path, unit_id % 1000 AS turn, primary_family AS p, confidence AS c, lag(primary_family) OVER w AS np, lag(confidence) OVER w AS nc, row_number() OVER w AS k FROM v WINDOW w AS (PARTITION BY unit_id // 1000 ORDER BY unit_id % 1000 DESC)) SELECT path, turn, p AS \"primary\", c AS confidence, CASE WHEN np IS NULL THEN '' WHEN np <> p THEN np || ' to ' || p WHEN abs(round(c - nc, 6)) < 0.005 THEN 'same' WHEN c > nc THEN 'up' ELSE 'down' END AS change FROM h WHERE k <= 20")
+@register("history_delta", f"{_TURNS}, h AS (SELECT unit_id.c AS path, unit_id.t AS turn, primary_family AS p, confidence AS c, lag(primary_family) OVER w AS np, lag(confidence) OVER w AS nc, row_number() OVER w AS k FROM v WINDOW w AS (PARTITION BY unit_id.c ORDER BY unit_id.t DESC)) SELECT path, turn, p AS \"primary\", c AS confidence, CASE WHEN np IS NULL THEN '' WHEN np <> p THEN np || ' to ' || p WHEN abs(round(c - nc, 6)) < 0.005 THEN 'same' WHEN c > nc THEN 'up' ELSE 'down' END AS change FROM h WHERE k <= 20")
 def history_delta(spark, d):
     return tables.history(turn_verdicts(spark, d))
 
 
-@register("trend_series", f"{_TURNS} SELECT unit_id % 1000 AS turn, primary_family AS \"primary\", count(*) AS units, round(avg(confidence), 4) AS confidence FROM v GROUP BY ALL")
+@register("trend_series", f"{_TURNS} SELECT unit_id.t AS turn, primary_family AS \"primary\", count(*) AS units, round(avg(confidence), 4) AS confidence FROM v GROUP BY ALL")
 def trend_series(spark, d):
     return turn_verdicts(spark, d).groupBy("turn", "primary").agg(F.count(F.lit(1)).alias("units"), F.round(F.avg("confidence"), 4).alias("confidence"))
 
