@@ -181,12 +181,18 @@ def features(lines: DataFrame, languages: Sequence[str] = LANGUAGES, keep: Seque
     )
 
 
-def hits(units: DataFrame, analyzers: tuple[str, ...] | None = None, languages: tuple[str, ...] = LANGUAGES, keep: Sequence[str] = ()) -> DataFrame:
-    """unit_id, path, language, n and the array ``hits`` of fired signals: id, family, tenths. Units of other languages are left out."""
+def hits(units: DataFrame, analyzers: tuple[str, ...] | None = None, languages: tuple[str, ...] = LANGUAGES, keep: Sequence[str] = (), more: str | None = None) -> DataFrame:
+    """unit_id, path, language, n and the array ``hits`` of fired signals: id, family, tenths. Units of other languages are left out.
+
+    ``more`` is SQL of further hits over the line structs ``x``, n, path and language."""
     lines = with_lines(units, keep)
+    if more:
+        lines = once(lines, ["unit_id", "path", "language", "n", *keep, "x"], _more=more)
     if set(languages) != set(LANGUAGES):
         lines = lines.where(F.coalesce("language", F.lit("rust")).isin(*languages))
-    return once(features(lines, languages, keep), ["unit_id", "path", "language", "n", *keep], hits=by_language(languages, lambda x: _fired(x, analyzers), NO_HITS))
+    along = (*keep, "_more") if more else tuple(keep)
+    found = by_language(languages, lambda x: _fired(x, analyzers), NO_HITS)
+    return once(features(lines, languages, along), ["unit_id", "path", "language", "n", *keep], hits=f"concat({found}, _more)" if more else found)
 
 
 def signals(units: DataFrame, analyzers: tuple[str, ...] | None = None, languages: tuple[str, ...] = LANGUAGES) -> DataFrame:

@@ -78,12 +78,12 @@ def metric_hits(language: str) -> str:
     return f"array_compact(array({', '.join(cases)}))"
 
 
-def signals(units: DataFrame, languages: tuple[str, ...] = LANGUAGES) -> DataFrame:
+def signals(units: DataFrame, languages: tuple[str, ...] = LANGUAGES, analyzers: tuple[str, ...] | None = None, more: str | None = None) -> DataFrame:
     """As ``detect.signals``, with the metric rules after the text rules of each unit, and the map ``metrics``.
 
     Units without a language follow the Rust text rules and have no metrics."""
     known = parsed(units, "metrics")
-    found = detect.hits(known, languages=languages, keep=("metrics",))
+    found = detect.hits(known, analyzers, languages, ("metrics",), more)
     every = f"concat(hits, {detect.by_language(languages, metric_hits, detect.NO_HITS)})"
     both = detect.once(found, ["unit_id", "path", "language", "n", "metrics"], hits=every)
     return both.select("unit_id", "path", "language", "n", F.expr("transform(hits, h -> h.id)").alias("signals"), "hits", "metrics")

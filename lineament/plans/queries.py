@@ -580,14 +580,21 @@ def markov_backoff(spark, d):
 
 
 def saves(spark, d):
-    return read(spark, d, "events").select(F.col("user_id").alias("path"), F.expr("floor(timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts) / 1000)").alias("ms"))
+    return read(spark, d, "events").select(F.col("user_id").alias("path"), (F.col("user_id") % 10).alias("watcher"), F.expr("floor(timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts) / 1000)").alias("ms"))
 
 
-@register("watch_debounced", "SELECT DISTINCT user_id AS path, floor(epoch_us(ts) / 300000)::BIGINT AS \"window\" FROM events")
+_SAVES = "sv AS (SELECT user_id AS path, user_id % 10 AS watcher, floor(epoch_us(ts) / 1000)::BIGINT AS ms FROM events)"
+
+
+@register("watch_debounced", f"""WITH RECURSIVE {_SAVES}, w AS (SELECT watcher, min(ms) AS opened FROM sv GROUP BY watcher
+ UNION ALL SELECT w.watcher, (SELECT min(ms) FROM sv WHERE sv.watcher = w.watcher AND sv.ms >= w.opened + {watch.DEBOUNCE_MS}) FROM w WHERE w.opened IS NOT NULL)
+SELECT DISTINCT sv.path, w.opened + {watch.DEBOUNCE_MS} AS ms FROM w JOIN sv ON sv.watcher = w.watcher AND sv.ms >= w.opened AND sv.ms < w.opened + {watch.DEBOUNCE_MS}""")
 def watch_debounced(spark, d):
-    return watch.debounced(saves(spark, d))
+    return watch.debounced(saves(spark, d), "watcher")
 
 
-@register("watch_cooled")
+@register("watch_cooled", f"""WITH RECURSIVE {_SAVES}, w AS (SELECT path, min(ms) AS ms FROM sv GROUP BY path
+ UNION ALL SELECT w.path, (SELECT min(ms) FROM sv WHERE sv.path = w.path AND sv.ms >= w.ms + {watch.COOLDOWN_MS}) FROM w WHERE w.ms IS NOT NULL)
+SELECT path, ms FROM w WHERE ms IS NOT NULL""")
 def watch_cooled(spark, d):
     return watch.cooled(saves(spark, d))
