@@ -101,9 +101,10 @@ def as_json(reports: DataFrame, pretty: bool = False) -> DataFrame:
 
 def as_one_json(reports: DataFrame) -> DataFrame:
     """A file's worth of reports: the report itself if there is one, else an array by path. Gathers all of them: for a command's output, not for a corpus."""
-    both = reports.agg(F.array_sort(F.collect_list(F.struct(F.col("report.metadata.file_path").alias("path"), "unit_id", "report"))).alias("r"))
-    listed = F.transform("r", lambda x: x["report"])
-    return both.select(F.when(F.size("r") == 1, F.to_json(F.get(listed, F.lit(0)))).otherwise(F.to_json(listed)).alias("report"))
+    one = F.struct(F.col("report.metadata.file_path").alias("path"), "unit_id", F.to_json("report", {"ignoreNullFields": "false"}).alias("json"))
+    listed = F.transform(F.array_sort(F.collect_list(one)), lambda x: x["json"])
+    both = reports.agg(listed.alias("r"))
+    return both.select(F.when(F.size("r") == 1, F.get("r", F.lit(0))).otherwise(F.concat(F.lit("["), F.array_join("r", ","), F.lit("]"))).alias("report"))
 
 
 def from_json(rows: DataFrame, column: str = "report") -> DataFrame:

@@ -16,6 +16,8 @@ GLOB = "*.{rs,py,js,ts,jsx,tsx,go}"
 EXTENSIONS = ("rs", "py", "js", "ts", "jsx", "tsx", "go")
 #: Sources of histories and trees at commits.
 HISTORY_EXTENSIONS = ("rs", "py", "js", "ts", "go")
+#: A file's path as it is: Spark has it with percent signs, and a plus that is one.
+FILE_PATH = "url_decode(replace(_metadata.file_path, '+', '%2B'))"
 UNITS = "unit_id long, path string, source string"
 
 
@@ -30,13 +32,18 @@ def below(path: Column, folder: str) -> Column:
     return F.regexp_replace(path, "^(?:[a-z]+:(?://[^/]*)?)?" + re.escape(root) + "/", "")
 
 
+def literal(folder: str) -> str:
+    """A path that means itself where Spark would read a glob."""
+    return re.sub(r"([\\\[\]{}*?])", r"\\\1", folder)
+
+
 def directory(spark: SparkSession, folder: str, patterns: list[str] | None = None, batch: bool = True) -> DataFrame:
     """unit_id, path (below the folder) and source of every source file that no pattern ignores.
 
     The condition is on the files' own metadata, so Spark drops ignored files and
     folders from its list before it reads any. Files that are no text give a null source."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", GLOB).load(folder)
-    path = below(F.expr("replace(_metadata.file_path, '%20', ' ')"), folder)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", GLOB).load(literal(folder))
+    path = below(F.expr(FILE_PATH), folder)
     kept = files.where(~ignored(path, patterns or []))
     # A file that is no UTF-8 has no source.
     text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string"))
@@ -45,7 +52,7 @@ def directory(spark: SparkSession, folder: str, patterns: list[str] | None = Non
 
 def single_file(spark: SparkSession, file: str) -> DataFrame:
     """One file as a unit, whatever its extension and the patterns say."""
-    rows = spark.read.format("binaryFile").load(file)
+    rows = spark.read.format("binaryFile").load(literal(file))
     name = F.element_at(F.split("path", "/"), -1)
     return rows.select(F.xxhash64(name).alias("unit_id"), name.alias("path"), F.col("content").cast("string").alias("source"))
 
@@ -59,8 +66,8 @@ def collected(spark: SparkSession, place: str, patterns: list[str] | None = None
 
 def all_files(spark: SparkSession, folder: str, patterns: list[str] | None = None) -> DataFrame:
     """path and hash of every file that is not ignored, sources or not: what a Merkle tree is made of."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    path = below(F.expr("replace(_metadata.file_path, '%20', ' ')"), folder)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(literal(folder))
+    path = below(F.expr(FILE_PATH), folder)
     return files.where(~ignored(path, [".git/", *(patterns or [])])).select(path.alias("path"), F.sha2("content", 256).alias("hash"))
 
 
