@@ -11,12 +11,13 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
 from typing import NamedTuple, Protocol
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lineament.operators import attribution as at
 from lineament.operators import detect, reports, syntax, tables
 from lineament.plans.catalogue import ANALYZERS, DISPLAY, FAMILIES
+from lineament.sources import files
 
 
 class Rule(NamedTuple):
@@ -239,3 +240,33 @@ class Pipeline:
         )
         changes = tables.history(rows.select("path", "turn", "primary", "confidence"), most)
         return changes.join(rows.select("path", "turn", "commit", "ts"), ["path", "turn"]).select("path", "commit", reports.date_of(F.col("ts")).alias("date"), "primary", "confidence", "change", (-F.col("turn")).alias("place"))
+
+    def directory(self, spark: SparkSession, folder: str, patterns: list[str] | None = None, state: str | None = None) -> DataFrame:
+        """path and report (JSON) of every source below a folder that is not ignored.
+
+        With ``state``, a shared folder, reports are kept there, and the Merkle tree of the folder beside
+        them: while its root is what it was, reports are only looked up, and no source is analysed. A sink
+        that wants them in order sorts by path."""
+        units = files.directory(spark, folder, patterns)
+        if state is None:
+            made = replace(self, cache=None).reports_json(units)
+            return units.select("unit_id", "path").join(made, "unit_id").select("path", "report")
+        cache = tables.ReportCache(spark, state)
+        trees = tables.ReportCache(spark, state, "d")
+        tree = tables.merkle(files.all_files(spark, folder, patterns))
+        root = tree.where("dir = ''").select("hash").first()
+        known = trees.get_hot([folder]).get(folder)
+        language = detect.language_of(F.col("path"))
+        if root is not None and known == root.hash:
+            keyed = units.select("path", tables.content_key(F.col("source"), language, self.heuristics.weights()).alias("key"))
+            there = cache.get(keyed).select("path", F.col("value").alias("report"))
+            if cache.missing(keyed).isEmpty():
+                return there
+        made = replace(self, cache=cache).reports_json(units)
+        if root is not None:
+            trees.put(spark.createDataFrame([(folder, root.hash)], "key string, value string"))
+        return units.select("unit_id", "path").join(made, "unit_id").select("path", "report")
+
+    def failed_gate(self, units: DataFrame, allowed: Sequence[str]) -> DataFrame:
+        """unit_id and primary of units that have signals and whose family is not among those allowed."""
+        return at.gate(self.verdicts(units), parsed_families(allowed))

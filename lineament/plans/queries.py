@@ -576,6 +576,16 @@ def markov_backoff(spark, d):
     return markov.backed_off(s, markov.trained_orders(markov.ngrams(s), size), size).withColumn("prob", F.round("prob", 6))
 
 
+@register("markov_nodes")
+def markov_nodes(spark, d):
+    """Families of code units by their node sequences: models of their own verdicts' families, by language."""
+    units = code_units(spark, d)
+    verdicts = code_verdicts(spark, d).select("unit_id", F.col("primary").alias("family"))
+    rows = syntax.sequences(units).join(verdicts, "unit_id").select("language", "family", F.col("unit_id").alias("seq_id"), "pos", "token")
+    size = rows.select("token").distinct().count() + 1
+    return markov.backed_off(rows, markov.trained_orders(markov.ngrams(rows), size), size)
+
+
 # Watching. ---------------------------------------------------------------------------------
 
 

@@ -330,3 +330,38 @@ def test_written_tables_are_dropped(spark):
     assert table.df.count() == 3
     table.drop()
     assert table.path not in Written.left
+
+
+# Folders with state, and commands. ---------------------------------------------------------
+
+
+def test_an_unchanged_folder_is_only_looked_up(spark, tmp_path, monkeypatch):
+    root, state = tmp_path / "src", str(tmp_path / "state")
+    (root / "x").mkdir(parents=True)
+    (root / "a.rs").write_text(HUMAN)
+    (root / "x" / "b.py").write_text("x = 1\n" * 12)
+    p = pl.Pipeline.with_defaults()
+    first = {r.path: r.report for r in p.directory(spark, str(root), state=state).collect()}
+    assert set(first) == {"a.rs", "x/b.py"} and first == {r.path: r.report for r in p.directory(spark, str(root)).collect()}
+    with monkeypatch.context() as m:
+        m.setattr(pl.Pipeline, "reports_json", None)
+        assert {r.path: r.report for r in p.directory(spark, str(root), state=state).collect()} == first
+    (root / "x" / "b.py").write_text("y = 2\n")
+    changed = {r.path: json.loads(r.report)["metadata"]["lines_of_code"] for r in p.directory(spark, str(root), state=state).collect()}
+    assert changed == {"a.rs": 33, "x/b.py": 1}
+
+
+def test_commands(spark, tmp_path, capsys):
+    from lineament.__main__ import main
+
+    (tmp_path / "a.rs").write_text(HUMAN)
+    (tmp_path / "b.rs").write_text("let a = 1;\n")
+    assert main(["analyze", str(tmp_path), "--format", "json", "--ignore", "b.rs"]) == 0
+    assert json.loads(capsys.readouterr().out)["metadata"]["file_path"] == "a.rs"
+    assert main(["analyze", str(tmp_path / "a.rs"), "--format", "text", "--assert-family", "claude,gpt"]) == 1
+    out = capsys.readouterr()
+    assert "File: a.rs" in out.out and out.err.strip().endswith("a.rs: human")
+    assert main(["symbols", str(tmp_path)]) == 0 and "a.rs:1-11  function f" in capsys.readouterr().out
+    assert main(["heuristics"]) == 0 and main(["heuristics", "--format", "toml"]) == 0
+    with pytest.raises(ValueError):
+        main(["analyze", str(tmp_path), "--assert-family", "nobody"])
