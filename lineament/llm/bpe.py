@@ -136,7 +136,8 @@ class ForcedBoundaryBpe:
         self.find = re.compile(usual_pattern(split)).findall
         self.symbols = byte_symbols()
         self.inside = self.pairs_inside()
-        self.by_word = Remembered(self.library_word if library else self.word, most)
+        self.one = self.library_word if library else self.word
+        self.by_word = Remembered(self.part, most)
         self.by_chunk = Remembered(self.chunk, most)
         self.by_symbols = Remembered(self.fragments, most)
 
@@ -209,20 +210,30 @@ class ForcedBoundaryBpe:
                 heapq.heappush(heap, (m, h))
         return [x for x in ids if x >= 0]
 
-    def word(self, word: str) -> bytes:
+    def visible(self, word: str) -> str:
+        """A word as byte symbols; visible ASCII stands for itself."""
+        if word.isascii() and word.isprintable():
+            return word
         symbols = self.symbols
-        return self.fragments("".join([symbols[b] for b in word.encode()]))
+        return "".join([symbols[b] for b in word.encode()])
+
+    def word(self, word: str) -> bytes:
+        return self.fragments(self.visible(word))
 
     def library_word(self, word: str) -> bytes:
-        symbols, four = self.symbols, self.four
-        found = self.tokenizer.model.tokenize("".join([symbols[b] for b in word.encode()]))
-        return b"".join([four[t.id] for t in found])
+        four = self.four
+        return b"".join([four[t.id] for t in self.tokenizer.model.tokenize(self.visible(word))])
+
+    def part(self, word: str) -> bytes:
+        """A word that stands in a chunk with others; it may be remembered as a chunk of its own."""
+        ids = self.by_chunk.get(word)
+        return self.one(word) if ids is None else ids
 
     def chunk(self, chunk: str) -> bytes:
         """Packed ids of what stands between white space, in usual characters and lower case."""
         words = self.find(chunk)
-        if len(words) == 1:
-            return self.by_word[words[0]]
+        if len(words) == 1 and words[0] == chunk:
+            return self.one(chunk)
         return b"".join(map(self.by_word.__getitem__, words))
 
     def packed(self, text: str | None) -> bytes:
