@@ -17,6 +17,7 @@ through to the same join.
 
 Null and empty texts and items have no words and no hits. Repeated rows of a document
 give the same pair once. A null doc_id is reported as null. Empty tables give none.
+Very long texts are searched whole. The stage keeps all columns, whatever their names.
 """
 
 from __future__ import annotations

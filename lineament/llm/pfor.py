@@ -20,7 +20,9 @@ all, so a lost executor costs a repeated task and nothing else; the folder can
 be in any store that Spark writes.
 
 Documents without text count as empty and have the end id alone. Rows with a
-null doc_id come first; repeated rows are all written.
+null doc_id come first; repeated rows are all written, and very long texts whole (a
+segment may be longer than ``SEGMENT_IDS``). An empty table gives files without rows.
+Other columns are not looked at.
 """
 
 from __future__ import annotations

@@ -20,7 +20,9 @@ Null and empty texts have all measurements zero and are scored like any other.
 Several labels of one document count as positive only if all are. Repeated rows
 are scored each by itself; rows with a null doc_id are scored and never learnt
 from (held_out is false). Without a single positive the prior is the least
-allowed and the score says so.
+allowed and the score says so. Very long texts are measured whole. An empty table
+gives no rows. Kept columns stay, whatever their names; a column ``score`` among them
+makes the new one ``_score``.
 """
 
 from __future__ import annotations

@@ -18,7 +18,8 @@ matched. At most ``MOST_LOOKED_AT`` documents are looked at for these windows an
 Null and empty texts have no spans. Repeated rows are scanned each by itself,
 very long texts whole. A private key whose end mark is missing ends with its last
 line of base64. Rows with a null doc_id are scanned and never learnt from. An empty
-table teaches nothing beyond the sentences and gives no rows.
+table teaches nothing beyond the sentences and gives no rows. Kept columns stay; a
+made one of the same name gets an underscore before it.
 """
 
 from __future__ import annotations

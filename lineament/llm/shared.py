@@ -2,15 +2,8 @@
 
 from __future__ import annotations
 
-import atexit
 import contextlib
-import os
-import tempfile
-import uuid
-import zipfile
 from collections.abc import Callable, Iterable, Iterator, Sequence
-from pathlib import Path
-from typing import ClassVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,6 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType
 
+from lineament.functions.shipping import ship
+from lineament.functions.written import Written
+
+__all__ = ["BATCH_ROWS", "Cut", "enrich", "free", "fresh", "named", "ship", "slices", "table"]
+
 #: Rows that become Python objects at once; texts may be very long, so these are few.
 #: (An Arrow batch has more, bounded in bytes by spark.sql.execution.arrow.maxBytesPerBatch.)
 BATCH_ROWS = 256
@@ -27,39 +25,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ship(spark: SparkSession) -> None:
-    """Make this package importable in Python workers, wherever they run."""
-    sc = spark.sparkContext
-    if getattr(sc, "_lineament_shipped", False):
-        return
-    root = Path(__file__).resolve().parents[1]
-    # The file server reads the archive whenever an executor first asks, so it stays.
-    archive = os.path.join(tempfile.mkdtemp(prefix="lineament-"), "lineament_workers.zip")
-    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
-        for file in sorted(root.rglob("*.py")):
-            z.write(file, str(Path(root.name) / file.relative_to(root)))
-    sc.addPyFile(archive)
-    sc._lineament_shipped = True
-
-
-def scratch(spark: SparkSession) -> str:
-    """The shared folder for cut lineage: spark.checkpoint.dir.
-
-    Where it is unset, a temporary folder serves a local master, whose executors
-    are this machine; on a cluster they would each write to their own disk, so
-    that is an error.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    sc = spark.sparkContext
-    if sc.master.split("[")[0] != "local":
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    if not getattr(sc, "_lineament_scratch", None):
-        sc._lineament_scratch = "file://" + tempfile.mkdtemp(prefix="lineament-scratch-")
-    return sc._lineament_scratch
-
-
 #: Bytes of an Arrow batch while a table is written.
 BATCH_BYTES = 8 << 20
 
@@ -76,36 +41,15 @@ def short_batches(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
-class Cut:
-    """A table written to the shared folder and read again.
-
-    ``drop`` removes it. Frames that are returned to a caller read theirs whenever
-    they run, so what is left is removed at the end of the program.
-    """
+class Cut(Written):
+    """A table written to the shared folder, in short batches, and read again; ``drop`` removes it.
 
-    left: ClassVar[dict[str, Cut]] = {}
+    Frames that are returned to a caller read theirs whenever they run, so what is
+    left is removed at the end of the program."""
 
     def __init__(self, df: DataFrame, name: str):
-        self.spark = df.sparkSession
-        self.path = f"{scratch(self.spark)}/{name}-{uuid.uuid4().hex}"
-        Cut.left[self.path] = self
-        with short_batches(self.spark):
-            df.write.parquet(self.path)
-        self.df = self.spark.read.schema(df.schema).parquet(self.path)
-
-    def drop(self) -> None:
-        Cut.left.pop(self.path, None)
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-@atexit.register
-def _drop_left() -> None:
-    for cut in list(Cut.left.values()):
-        # A session that has been stopped has no file system any more.
-        with contextlib.suppress(Exception):
-            cut.drop()
+        with short_batches(df.sparkSession):
+            super().__init__(df, name)
 
 
 def free(taken: Iterable[str], names: Iterable[str]) -> list[str]:

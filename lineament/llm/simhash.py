@@ -26,7 +26,9 @@ over ``SPREAD`` shares of each key.
 
 Null and empty texts have fingerprint zero and link like any other. Repeated
 rows share their fingerprint. Rows with a null doc_id get a component too; a
-component of none but such rows has a null component_id.
+component of none but such rows has a null component_id. Very long texts are hashed
+whole, in bounded memory. An empty table gives no rows. Of other columns, the stage
+keeps all, whatever their names.
 """
 
 from __future__ import annotations
