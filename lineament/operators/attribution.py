@@ -57,12 +57,13 @@ def weighted(signals: DataFrame, overrides: DataFrame | None = None) -> DataFram
     the catalogue, an unknown id weighs 1, and weight 0 disables."""
     spark = signals.sparkSession
     rows = signals.select("unit_id", F.explode_outer("signals").alias("id")).where("id IS NOT NULL")
-    # The catalogue has 232 rows; overrides come from a configuration file.
+    # The catalogue has 232 rows.
     out = rows.join(F.broadcast(catalogue(spark).select("id", "family", (F.col("tenths") / 10).alias("default"))), "id", "left")
     if overrides is None:
         out = out.withColumn("override", F.lit(None).cast("double"))
     else:
-        out = out.join(F.broadcast(overrides.select("id", F.col("weight").cast("double").alias("override"))), "id", "left")
+        # How many overrides there are is for Spark to see: it sends them along if they are few.
+        out = out.join(overrides.select("id", F.col("weight").cast("double").alias("override")), "id", "left")
     return out.select("unit_id", "id", "family", F.coalesce("override", "default", F.lit(1.0)).alias("weight")).where("weight <> 0")
 
 
