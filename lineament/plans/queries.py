@@ -232,7 +232,22 @@ def report_text(spark, d):
     return reports.as_text(text_reports(spark, d))
 
 
-@register("report_pretty")
+def _painted(code: str, text: str) -> str:
+    return f"chr(27) || '[{code}m' || {text} || chr(27) || '[0m'"
+
+
+_CODE = "CASE {0} " + " ".join(f"WHEN '{f}' THEN '{reports.ANSI[c]}'" for f, (c, _) in reports.COLOURS.items()) + " END"
+_COLOURED = "chr(27) || '[' || {1} || 'm' || {0} || chr(27) || '[0m'"
+_PRETTY_LINES = " UNION ALL ".join(f"SELECT unit_id, share_{f} AS share, '{DISPLAY[f]}' AS name, '{f}' AS family FROM rp" for f in FAMILIES)
+_BAR = _COLOURED.format("repeat('█', floor(share * 30)::INT)", _CODE.format("family"))
+_SIGN = "CASE WHEN g.weight >= 0 THEN '+' ELSE '' END || printf('%.1f', g.weight)"
+
+
+@register("report_pretty", f"""{_REPORTS}, sc AS (SELECT unit_id, string_agg('  ' || rpad(name, 10, ' ') || ' ' || {_BAR} || ' ' || ({_PM.format('share')} // 10) || '.' || ({_PM.format('share')} % 10) || '%', chr(10) ORDER BY share DESC, name) AS scores FROM ({_PRETTY_LINES}) GROUP BY unit_id)
+SELECT unit_id, CASE WHEN path IS NULL THEN '' ELSE {_painted('1', "'File:'")} || ' ' || path || chr(10) END || {_painted('1', "'Verdict:'")} || ' ' ||
+ CASE WHEN confidence > 0 THEN {_COLOURED.format(_NAME.format('primary_family') + " || ' (' || floor((round(confidence * 1000000) + 5000) / 10000)::INT || '% confidence)'", _CODE.format('primary_family'))} ELSE {_painted('2', "'Insufficient data'")} END || chr(10)
+ || {_painted('2', "'Lines:'")} || ' ' || n || ' | ' || {_painted('2', "'Signals:'")} || ' ' || signal_count || chr(10) || chr(10) || {_painted('1', "'Scores:'")} || chr(10) || scores || chr(10)
+ || CASE WHEN len(signals) = 0 THEN '' ELSE chr(10) || {_painted('1', "'Signals:'")} || chr(10) || array_to_string(list_transform(signals, lambda g: '  ' || {_painted('2', "'[' || g.source || ']'")} || ' ' || CASE WHEN g.weight >= 0 THEN {_painted('32', _SIGN)} ELSE {_painted('31', _SIGN)} END || ' ' || {_painted('1', _NAME.format('g.family'))} || ' — ' || g.description), chr(10)) || chr(10) END AS report FROM rp JOIN sc USING (unit_id)""")
 def report_pretty(spark, d):
     return reports.as_pretty(text_reports(spark, d))
 
