@@ -118,6 +118,8 @@ class ForcedBoundaryBpe:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
+        # Asked for once: the library makes a new object whenever it is.
+        self.tokenize = self.tokenizer.model.tokenize
         self.suffix = model["end_of_word_suffix"]
         self.vocab: dict[str, int] = model["vocab"]
         #: A pair of ids as one number, to rank and made id as another.
@@ -222,7 +224,7 @@ class ForcedBoundaryBpe:
 
     def library_word(self, word: str) -> bytes:
         four = self.four
-        return b"".join([four[t.id] for t in self.tokenizer.model.tokenize(self.visible(word))])
+        return b"".join([four[t.id] for t in self.tokenize(self.visible(word))])
 
     def part(self, word: str) -> bytes:
         """A word that stands in a chunk with others; it may be remembered as a chunk of its own."""
@@ -231,6 +233,8 @@ class ForcedBoundaryBpe:
 
     def chunk(self, chunk: str) -> bytes:
         """Packed ids of what stands between white space, in usual characters and lower case."""
+        if chunk.isalpha():
+            return self.one(chunk)
         words = self.find(chunk)
         if len(words) == 1 and words[0] == chunk:
             return self.one(chunk)

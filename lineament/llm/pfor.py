@@ -117,7 +117,8 @@ def unpack_ids(data: bytes) -> np.ndarray:
     n, count = int.from_bytes(data[:4], "little"), int.from_bytes(data[4:8], "little")
     if not count:
         return np.zeros(0, np.uint32)
-    raw = np.frombuffer(data, np.uint8)
+    # Three bytes more, so that the last values of the last block can be read as four.
+    raw = np.frombuffer(data + b"\0\0\0", np.uint8)
     starts = np.frombuffer(data, "<u4", count, 8).astype(np.int64)
     least = raw[starts[:, None] + np.arange(4)].copy().view("<u4")
     widths = raw[starts + 4]
@@ -125,7 +126,16 @@ def unpack_ids(data: bytes) -> np.ndarray:
     values = np.repeat(least.astype(np.uint32), BLOCK, axis=1)
     for width in np.unique(widths[widths > 0]).tolist():
         rows = np.flatnonzero(widths == width)
-        kind, most = (">u2", 16) if width <= 16 else (">u4", 32)
+        if width <= 25:
+            # A value lies in the four bytes from its first one on.
+            bit = np.arange(BLOCK) * width
+            at = starts[rows, None] + 7 + (bit >> 3)
+            whole = raw[at].astype(np.uint32)
+            for k in range(1, 4):
+                whole = whole << np.uint32(8) | raw[at + k]
+            values[rows] += whole >> (32 - width - (bit & 7)).astype(np.uint32) & np.uint32((1 << width) - 1)
+            continue
+        kind, most = ">u4", 32
         packed = raw[starts[rows, None] + 7 + np.arange(BLOCK * width // 8)]
         whole = np.zeros((len(rows), BLOCK, most), np.uint8)
         whole[:, :, most - width :] = np.unpackbits(packed, axis=1).reshape(len(rows), BLOCK, width)
