@@ -30,7 +30,7 @@ from pyspark.sql.types import LongType, StringType, StructField
 from .shared import enrich
 
 #: Words whose ids a task remembers; the table is emptied when it is full.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 #: The longest word or chunk that is remembered, so that a table is bounded in bytes too.
 LONGEST = 48
 
@@ -96,9 +96,9 @@ class Remembered(dict):
 
 
 @functools.cache
-def shared_bpe(path: str | None, library: bool = False) -> ForcedBoundaryBpe:
+def shared_bpe(path: str | None, library: bool = False, most: int = REMEMBERED) -> ForcedBoundaryBpe:
     """One encoder a Python worker: what it remembers serves the worker's next tasks too."""
-    return ForcedBoundaryBpe(path, library)
+    return ForcedBoundaryBpe(path, library, most)
 
 
 class ForcedBoundaryBpe:

@@ -44,6 +44,8 @@ BLOCK = 256
 PERCENTILE = 0.9
 SEGMENT_IDS = 1 << 16
 END_ID = 2
+#: Words that a worker remembers the ids of.
+WORDS = 300_000
 
 SEGMENTS = "shard int, segment int, doc_ids array<bigint>, doc_lengths array<bigint>, n_ids bigint, data binary"
 
@@ -187,7 +189,7 @@ def write_tokens(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", pa
 
     def run(batches):
         shard = TaskContext.get().partitionId()
-        bpe = shared_bpe(path, True)
+        bpe = shared_bpe(path, True, WORDS)
         docs = ((i, bpe.packed(t) + end) for b in slices(batches) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
         for k, (keys, lengths, ids) in enumerate(segments_of(docs)):
             n = len(ids) // 4

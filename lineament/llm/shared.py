@@ -76,11 +76,7 @@ def named(column: str) -> Column:
 
 
 def slices(batches: Iterable[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of at most ``rows``.
-
-    Runs in workers: Arrow's memory comes from the system there, which takes large
-    blocks back at once, and a batch is let go before the next one is read."""
-    pa.set_memory_pool(pa.system_memory_pool())
+    """The same rows in batches of at most ``rows``; a batch is let go before the next one is read."""
     every = iter(batches)
     while (batch := next(every, None)) is not None:
         for at in range(0, batch.num_rows, rows):
