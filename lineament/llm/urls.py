@@ -75,9 +75,10 @@ def slots(host: str = "host", path: str = "path") -> str:
     """SQL of the slots of every n-gram of host and path, which are told apart by their start."""
 
     def grams(column: str, kind: str, n: int) -> str:
-        text = f"concat('^', {column}, '$')"
-        place = " + ".join([str(START[kind] * n), *(f"{FACTORS[k]} * ascii(substring({text}, i + {k}, 1))" for k in range(n))])
-        return f"transform(filter(sequence(1, length({text})), i -> i <= length({text}) - {n - 1}), i -> ({place}) % {SLOTS})"
+        # Characters as numbers first: a place in an array is found at once, one in a text by walking there.
+        codes = f"transform(filter(split(concat('^', {column}, '$'), ''), c -> c <> ''), c -> ascii(c))"
+        place = " + ".join([str(START[kind] * n), *(f"{FACTORS[k]} * z[i + {k}]" for k in range(n))])
+        return f"transform(array({codes}), z -> transform(filter(sequence(0, size(z) - 1), i -> i + {n} <= size(z)), i -> ({place}) % {SLOTS}))[0]"
 
     every = [f"IF({c} = '', CAST(array() AS array<int>), {grams(c, k, n)})" for c, k in ((host, "h"), (path, "p")) for n in GRAMS]
     return f"IF({host} = '', CAST(array() AS array<int>), concat({', '.join(every)}))"
