@@ -36,7 +36,7 @@ MASKS = tuple(dict.fromkeys(LONG + SHORT + FIVE + WHOLE))
 WINDOW = 10
 SIMILARITY = 0.8
 #: Bits of either bitmap, of words and of seeds.
-BITS = 1 << 22
+BITS = 1 << 20
 #: Rows of (doc_id, hash) that may be broadcast.
 MOST_BROADCAST = 500_000
 
