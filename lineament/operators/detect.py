@@ -1,10 +1,13 @@
 """Signals of source texts: counts, names and layout as expressions over an array of lines.
 
-A unit is a row (unit_id, path, source). Its lines become one array; every line is
-looked at once and becomes a number with a bit for each predicate of the unit's
-language, and detectors are counts of these bits. All of it is native expressions
-in one pass over one scan: a unit never leaves its row and nothing is shuffled.
-``signals_sql`` renders the same catalogue as DuckDB SQL over a table of lines.
+A unit is a row (unit_id, path, source). Signals come from one pass over Arrow
+batches (``lineament.operators.counted``), where every line is looked at once: a unit
+never leaves its row and nothing is shuffled. Names and layout (``features``), and hits
+with further rules (``more``), are native expressions over an array of lines; there every
+line becomes a number with a bit for each predicate of the unit's language, and detectors
+are counts of these bits. Spark evaluates functions of arrays a node at a time, which took
+three times as long for the whole catalogue. ``signals_sql`` renders the same catalogue as
+DuckDB SQL over a table of lines.
 
 What several expressions use is made by a generator of one row (``once``): the
 optimiser neither copies it into them nor looks for constraints among them, which
@@ -30,16 +33,17 @@ PLAIN = r"^[\p{L}\p{N}_]+$"
 SHORT = "^({0})$|^({0})_|_({0})$".format("|".join(ABBREVIATIONS))
 EXTENSIONS = {"rs": "rust", "py": "python", "js": "js", "ts": "js", "jsx": "js", "tsx": "js", "go": "go"}
 
-#: Names on a line: Spark and DuckDB lists, and whether only plain names stay.
-NAMES: dict[str, list[tuple[str, str, bool]]] = {}
+#: Names on a line: Spark, DuckDB and Python lists, and whether only plain names stay.
+NAMES: dict[str, list[tuple[str, str, str, bool]]] = {}
 #: Names of functions, which Rust counts apart.
-FN_NAMES: list[tuple[str, str, bool]] = []
+FN_NAMES: list[tuple[str, str, str, bool]] = []
 
 
-def extracted(when: P, pattern: str, group: int, plain: bool) -> tuple[str, str, bool]:
+def extracted(when: P, pattern: str, group: int, plain: bool) -> tuple[str, str, str, bool]:
     spark = f"CASE WHEN {when.spark} THEN array(trim(regexp_extract(e.t, {spark_text(pattern)}, {group}))) ELSE CAST(array() AS array<string>) END"
     duck = f"CASE WHEN {when.duck} THEN [trim(regexp_extract(t, {duck_text(pattern)}, {group}))] ELSE [] END"
-    return spark, duck, plain
+    python = f"[(R[{pattern!r}](t)[{group}] or '').strip(' ')] if {when.python} else []"
+    return spark, duck, python, plain
 
 
 NAMES["rust"] = [extracted(starts("let "), r"^let (mut )?([^:= ]*)", 2, False)]
@@ -53,6 +57,7 @@ NAMES["go"] = [
     (
         "CASE WHEN contains(e.t, ' := ') THEN transform(split(substring_index(e.t, ' := ', 1), ','), p -> trim(p)) ELSE CAST(array() AS array<string>) END",
         "CASE WHEN contains(t, ' := ') THEN list_transform(string_split(string_split(t, ' := ')[1], ','), lambda p: trim(p)) ELSE [] END",
+        "[p.strip(' ') for p in t.split(' := ', 1)[0].split(',')] if ' := ' in t else []",
         True,
     ),
     extracted(starts("func "), r"^func (\([^)]*\))? *([^(]*)", 2, False),
@@ -96,9 +101,9 @@ def by_language(languages: Sequence[str], of: Callable[[str], str], other: str)
     return f"CASE {cases} ELSE {other} END"
 
 
-def _spark_names(parts: list[tuple[str, str, bool]]) -> str:
+def _spark_names(parts: list[tuple[str, str, str, bool]]) -> str:
     lists = []
-    for spark, _, plain in parts:
+    for spark, _, _, plain in parts:
         test = f"v RLIKE {spark_text(PLAIN)}" if plain else "v <> ''"
         lists.append(f"filter(flatten(transform(x, e -> {spark})), v -> {test})")
     return lists[0] if len(lists) == 1 else f"concat({', '.join(lists)})"
@@ -185,6 +190,15 @@ def hits(units: DataFrame, analyzers: tuple[str, ...] | None = None, languages:
     """unit_id, path, language, n and the array ``hits`` of fired signals: id, family, tenths. Units of other languages are left out.
 
     ``more`` is SQL of further hits over the line structs ``x``, n, path and language."""
+    if more:
+        return native_hits(units, analyzers, languages, keep, more)
+    from lineament.operators import counted
+
+    return counted.hits(units, analyzers, languages, keep)
+
+
+def native_hits(units: DataFrame, analyzers: tuple[str, ...] | None = None, languages: tuple[str, ...] = LANGUAGES, keep: Sequence[str] = (), more: str | None = None) -> DataFrame:
+    """The same by native expressions alone."""
     lines = with_lines(units, keep)
     if more:
         lines = once(lines, ["unit_id", "path", "language", "n", *keep, "x"], _more=more)
@@ -219,9 +233,9 @@ ls AS (SELECT *, lag(t) OVER w AS pt, lead(t) OVER w AS nt FROM l1 WINDOW w AS (
 def features_sql(language: str) -> str:
     """CTE ``f_<language>`` with the counts and measurements of a language's units."""
 
-    def listed(parts: list[tuple[str, str, bool]]) -> str:
+    def listed(parts: list[tuple[str, str, str, bool]]) -> str:
         out = []
-        for _, duck, plain in parts:
+        for _, duck, _, plain in parts:
             test = f"regexp_matches(v, {duck_text(PLAIN)})" if plain else "v <> ''"
             out.append(f"list_filter(flatten(list({duck})), lambda v: {test})")
         return out[0] if len(out) == 1 else f"list_concat({', '.join(out)})"
