@@ -313,8 +313,10 @@ def flat_tree(verdicts: DataFrame) -> DataFrame:
 
 
 def walked(verdicts: DataFrame) -> DataFrame:
-    """The flat tree in the order of its walk, by one range sort."""
-    return flat_tree(verdicts).orderBy("order").drop("order")
+    """The flat tree in the order of its walk, by one range sort.
+
+    Verdicts are written first: files, folders and the sort's look at its range each read them again."""
+    return flat_tree(Written(verdicts.select("path", "n", "primary", "confidence"), "tree-verdicts").df).orderBy("order").drop("order")
 
 
 def at_commits(verdicts: DataFrame) -> DataFrame:
