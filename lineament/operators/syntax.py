@@ -17,7 +17,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DataType
 
 from lineament.functions.shipping import ship
-from lineament.operators import detect
+from lineament.operators import counted, detect
 from lineament.plans.catalogue import LANGUAGES, METRIC_RULES
 from lineament.syntax import go, js, python, rust
 
@@ -36,7 +36,7 @@ def _one(language: str | None, source: str | None, wanted: Sequence[str]) -> lis
     parser = PARSERS[language]
     try:
         tree = parser.parse(source or "")
-        found = {"metrics": list(parser.metrics(tree).items())}
+        found = {"metrics": list(parser.metrics(tree).items())} if "metrics" in wanted else {}
     except RecursionError:
         return [empty[w] for w in wanted]
     if "symbols" in wanted:
@@ -82,8 +82,10 @@ def signals(units: DataFrame, languages: tuple[str, ...] = LANGUAGES, analyzers:
     """As ``detect.signals``, with the metric rules after the text rules of each unit, and the map ``metrics``.
 
     Units without a language follow the Rust text rules and have no metrics."""
-    known = parsed(units, "metrics")
-    found = detect.hits(known, analyzers, languages, ("metrics",), more)
+    if more:
+        found = detect.native_hits(parsed(units, "metrics"), analyzers, languages, ("metrics",), more)
+    else:
+        found = counted.hits(units, analyzers, languages, made={"metrics": (ADDED["metrics"], lambda language, source: _one(language, source, ("metrics",))[0])})
     every = f"concat(hits, {detect.by_language(languages, metric_hits, detect.NO_HITS)})"
     both = detect.once(found, ["unit_id", "path", "language", "n", "metrics"], hits=every)
     return both.select("unit_id", "path", "language", "n", F.expr("transform(hits, h -> h.id)").alias("signals"), "hits", "metrics")
