@@ -8,9 +8,11 @@ from dataclasses import asdict, dataclass, field
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, NaiveBayes
 from pyspark.ml.feature import StringIndexer
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
+from pyspark.storagelevel import StorageLevel
 
 from lineament.functions.written import Written
 from lineament.operators.attribution import with_primary
@@ -20,19 +22,17 @@ from lineament.plans.catalogue import FAMILIES, METRIC_RULES, SIGNALS
 IDS = sorted([s.id for s in SIGNALS] + [r[0] for r in METRIC_RULES])
 #: The mark of metrics in a schema; signals come before them.
 METRIC = "metric:"
-#: Rows that a model is fitted on at most: those with the smallest hashes.
-MOST_ROWS = 5000
 
 
-def extracted(signals: DataFrame) -> DataFrame:
-    """unit_id, language, lines_of_code and ``features``: the weight of every fired signal, and every metric
+def extracted(signals: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """unit_id, language, lines_of_code, ``keep`` and ``features``: the weight of every fired signal, and every metric
     under its mark. A signal that did not fire is zero wherever it is looked up, so it is not kept.
 
     Input: unit_id, language, n, hits and, if there are any, metrics."""
     fired = "transform(hits, h -> struct(h.id AS key, h.tenths / 10D AS value))"
     own = f"transform(map_entries(metrics), m -> struct(concat('{METRIC}', m.key) AS key, m.value AS value))" if "metrics" in signals.columns else None
     every = f"concat({fired}, {own})" if own else fired
-    return signals.select("unit_id", F.coalesce("language", F.lit("unknown")).alias("language"), F.col("n").alias("lines_of_code"), F.expr(f"map_from_entries({every})").alias("features"))
+    return signals.select("unit_id", F.coalesce("language", F.lit("unknown")).alias("language"), F.col("n").alias("lines_of_code"), *keep, F.expr(f"map_from_entries({every})").alias("features"))
 
 
 def schema_of(rows: DataFrame, ids: list[str] | None = None) -> list[str]:
@@ -51,11 +51,6 @@ def dataset(rows: DataFrame, schema: list[str]) -> DataFrame:
     return rows.withColumn("x", flat(F.col("features"), schema))
 
 
-def above_zero() -> Column:
-    """``x`` moved up by its row's least value where that is negative: naive Bayes needs counts."""
-    return F.transform("x", lambda v: v - F.least(F.lit(0.0), F.array_min("x")))
-
-
 @dataclass
 class ModelMetadata:
     version: str
@@ -86,7 +81,7 @@ class Ensemble:
 
     def votes(self, rows: DataFrame, key: str = "unit_id") -> DataFrame:
         """unit_id, family, share: each model's class counts wholly."""
-        out = vectors(dataset(rows.select(F.col(key).alias("unit_id"), "features"), self.schema)).select("unit_id", "_x", "_n")
+        out = vectors(rows.select(F.col(key).alias("unit_id"), "features"), self.schema)
         for k, model in enumerate(self.models):
             out = model.transform(out).withColumnRenamed("prediction", f"_p{k}").drop("rawPrediction", "probability")
         labels = F.lit(self.labels)
@@ -94,24 +89,39 @@ class Ensemble:
         return voted(out.select("unit_id", F.explode(F.array(*each)).alias("v")).select("unit_id", "v.*"))
 
 
-def vectors(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("_x", array_to_vector("x")).withColumn("_n", array_to_vector(above_zero()))
-
-
-def fit(rows: DataFrame, label: str, most: int = MOST_ROWS, trained_at: str = "", version: str = "1") -> Ensemble:
-    """Fit on at most ``most`` labelled rows with ``features`` (those with the smallest hashes of unit_id)."""
-    few = Written(rows.where(F.col(label).isNotNull()).orderBy(F.xxhash64("unit_id"), "unit_id").limit(most), "training-rows").df
-    schema = schema_of(few)
-    indexer = StringIndexer(inputCol=label, outputCol="_y", stringOrderType="alphabetAsc")
-    train = dataset(few, schema).select("unit_id", label, "language", "x")
-    numbered = indexer.fit(train)
-    x = vectors(numbered.transform(train)).select("_x", "_n", "_y").persist()
+def vectors(rows: DataFrame, schema: list[str]) -> DataFrame:
+    """``rows`` without ``features``, with ``_x``, their values in the order of a schema, and ``_n``, the same moved up by
+    the row's least value where that is negative: naive Bayes needs counts.
+
+    Vectors hold what is not zero. They are written as what vectors consist of and read again as vectors, which
+    takes no function outside Spark's own; only a row with a negative value is written in full."""
+    places = F.create_map(*[F.lit(x) for k, name in enumerate(schema) for x in (name, k)])
+    others = [c for c in rows.columns if c != "features"]
+    at = F.transform(F.map_entries("features"), lambda e: F.struct(F.element_at(places, e["key"]).alias("k"), e["value"].alias("v")))
+    found = rows.select(*others, "features", F.sort_array(F.filter(at, lambda e: e["k"].isNotNull() & (e["v"] != 0))).alias("_f"))
+    sparse = F.struct(F.lit(0).cast("byte").alias("type"), F.lit(len(schema)).alias("size"), F.col("_f.k").alias("indices"), F.col("_f.v").alias("values"))
+    full = flat(F.col("features"), schema)
+    moved = F.struct(F.lit(1).cast("byte").alias("type"), F.lit(None).cast("int").alias("size"), F.lit(None).cast("array<int>").alias("indices"), F.transform(full, lambda v: v - F.array_min(full)).alias("values"))
+    table = Written(found.select(*others, sparse.alias("_x"), F.when(F.array_min("_f.v") < 0, moved).otherwise(sparse).alias("_n")), "vectors")
+    read = StructType([f for f in table.df.schema if f.name in others] + [StructField(c, VectorUDT()) for c in ("_x", "_n")])
+    return rows.sparkSession.read.schema(read).parquet(table.path)
+
+
+def fit(rows: DataFrame, label: str, trained_at: str = "", version: str = "1") -> Ensemble:
+    """Fit on every labelled row with ``features``."""
+    # Written once, since the rows are read for the schema and for the vectors; what all models read is written too.
+    known = Written(rows.where(F.col(label).isNotNull()).select("unit_id", label, "language", "features"), "training-rows")
+    schema = schema_of(known.df)
+    train = vectors(known.df, schema)
+    numbered = StringIndexer(inputCol=label, outputCol="_y", stringOrderType="alphabetAsc").fit(train)
+    x = numbered.transform(train).select("_x", "_n", "_y").persist(StorageLevel.MEMORY_AND_DISK)
     kinds = (LogisticRegression(family="multinomial", maxIter=100, featuresCol="_x", labelCol="_y"), NaiveBayes(modelType="multinomial", featuresCol="_n", labelCol="_y"), DecisionTreeClassifier(maxDepth=10, featuresCol="_x", labelCol="_y"))
     models = [Pipeline(stages=[k]).fit(x) for k in kinds]
     x.unpersist()
     coverage: dict[str, dict[str, int]] = {}
     for r in train.groupBy("language", label).count().collect():
         coverage.setdefault(r[0], {})[r[1]] = r["count"]
+    known.drop()
     n = sum(sum(c.values()) for c in coverage.values())
     return Ensemble(schema, list(numbered.labels), models, [1.0, 1.0, 1.0], ModelMetadata(version, trained_at, ["logistic_regression", "naive_bayes", "decision_tree"], n, len(schema), coverage))
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lineament.functions.portable import duck_text
+from lineament.functions.written import Written
 from lineament.operators import attribution as at
 from lineament.operators import detect, learning, markov, reports, syntax, tables
 from lineament.plans.catalogue import ANALYZERS, DISPLAY, FAMILIES, LANGUAGES, METRIC_RULES, SIGNALS
@@ -522,26 +523,31 @@ def feature_vector(spark, d):
     return s.select("unit_id", F.concat(*[F.when(F.array_contains("signals", i), F.lit("1")).otherwise(F.lit("0")) for i in sorted(_IDS)]).alias("vector"))
 
 
-def code_features(spark, d):
-    """Features of code units with all rules and metrics, labelled by the text rules' verdict."""
-    signals = syntax.signals(code_units(spark, d))
+def full_signals(spark, d):
+    """Signals of code units with all rules and metrics, written once: models are fitted on them and speak of them."""
+    return Written(syntax.signals(code_units(spark, d)).select("unit_id", "path", "n", "language", "hits", "metrics"), "full-signals").df
+
+
+def code_features(signals):
+    """Features of units with signals, labelled by the text rules' verdict."""
     labelled = at.attributed(signals, ("unit_id", "path", "n", "language", "hits", "metrics")).where("signal_count > 0")
-    return learning.extracted(labelled).join(labelled.select("unit_id", "primary"), "unit_id")
+    return learning.extracted(labelled, ("primary",))
 
 
 @register("trained_ensemble")
 def trained_ensemble(spark, d):
-    """Votes of three models fitted on the features of code units (at most MOST_ROWS of them)."""
-    rows = code_features(spark, d)
+    """Votes of three models fitted on the features of all code units."""
+    rows = code_features(full_signals(spark, d))
     return learning.fit(rows, "primary").votes(rows)
 
 
 @register("rescored_verdicts")
 def rescored_verdicts(spark, d):
     """Verdicts blended with what the fitted models say of the same units."""
-    rows = code_features(spark, d)
+    signals = full_signals(spark, d)
+    rows = code_features(signals)
     model = learning.rescored(learning.fit(rows, "primary").votes(rows))
-    return at.blended(full_verdicts(spark, d), model, 0.25)
+    return at.blended(at.attributed(signals), model, 0.25)
 
 
 _RAW_VOTES = [(1, "claude", 0.5), (1, "martian", 0.5), (2, "GPT", 0.25), (2, "human", 0.25), (2, "other", 0.5), (3, "other", 1.0), (4, "gemini", 1.0)]
