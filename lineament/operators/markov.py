@@ -2,8 +2,17 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter, defaultdict
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType
+
+from lineament.functions.shipping import ship
 
 
 def transitions(sequences: DataFrame, alpha: float = 0.5) -> DataFrame:
@@ -85,17 +94,158 @@ def ngrams(sequences: DataFrame, orders: tuple[int, ...] = (1, 2, 3)) -> DataFra
 
 def trained_orders(grams: DataFrame, size: int, alpha: float = 0.5) -> DataFrame:
     """language, family, order, context, next, count, total and prob, smoothed over ``size`` tokens (UNKNOWN among them)."""
-    counts = grams.groupBy("language", "family", "order", "context", "next").agg(F.count(F.lit(1)).alias("count"))
+    return smoothed(grams.groupBy("language", "family", "order", "context", "next").agg(F.count(F.lit(1)).alias("count")), size, alpha)
+
+
+def smoothed(counts: DataFrame, size: int, alpha: float = 0.5) -> DataFrame:
+    """The same from counts."""
     totals = counts.groupBy("language", "family", "order", "context").agg(F.sum("count").alias("total"))
     rows = counts.join(totals, ["language", "family", "order", "context"])
     return rows.select("language", "family", "order", "context", "next", "count", "total", ((F.col("count") + alpha) / (F.col("total") + alpha * size)).alias("prob"))
 
 
+#: Rows of a model that is sent along to executors; a larger one is joined.
+MOST_SENT = 400_000
+ORDERS = (1, 2, 3)
+
+
+def whole(sequences: DataFrame) -> DataFrame:
+    """language, seq_id, tokens and, if there is one, family: one row a sequence, its tokens in order."""
+    keys = [k for k in ("language", "family", "seq_id") if k in sequences.columns]
+    return sequences.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("_t")).select(*keys, F.col("_t.token").alias("tokens"))
+
+
+def grams_of(tokens: list[str | None], order: int) -> list[tuple[str, str]]:
+    """Contexts and what follows them, as ``ngrams`` makes them."""
+    if None not in tokens:
+        if order == 1:
+            return list(zip(tokens, tokens[1:]))
+        return list(zip(map(",".join, zip(*(tokens[i:] for i in range(order)))), tokens[order:]))
+    return [(",".join(t for t in tokens[i : i + order] if t is not None), tokens[i + order]) for i in range(len(tokens) - order) if tokens[i + order] is not None]
+
+
+def counted_orders(rows: DataFrame) -> DataFrame:
+    """language, family, order, context, next and count from (language, family, tokens): batches are counted where they are,
+    so what is shuffled is a row a kind of n-gram and batch, not one a place."""
+    ship(rows.sparkSession)
+    types = rows.select("language", "family").schema
+    schema = types.add("order", IntegerType()).add("context", StringType()).add("next", StringType()).add("count", LongType())
+    arrow = to_arrow_schema(schema)
+
+    def run(batches):
+        counts: Counter = Counter()
+
+        def flushed():
+            made = [[*k, n] for k, n in counts.items()]
+            counts.clear()
+            return pa.RecordBatch.from_arrays([pa.array([m[i] for m in made], arrow[i].type) for i in range(6)], schema=arrow)
+
+        for batch in batches:
+            for language, family, tokens in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                for order in ORDERS:
+                    counts.update([(language, family, order, *g) for g in grams_of(tokens, order)])
+                if len(counts) > MOST_KINDS:
+                    yield flushed()
+        yield flushed()
+
+    made = rows.select("language", "family", "tokens").mapInArrow(run, schema)
+    return made.groupBy("language", "family", "order", "context", "next").agg(F.sum("count").alias("count"))
+
+
+#: Kinds of n-grams that a task counts before it hands them on.
+MOST_KINDS = 200_000
+
+
+class Said:
+    """Logarithms of a model's probabilities, by language and order, for all its families at once."""
+
+    def __init__(self, rows: list, size: int):
+        by = defaultdict(lambda: defaultdict(list))
+        self.families: dict[str, list] = {}
+        for language, family, order, context, following, prob in rows:
+            by[language, order][context].append((family, following, prob))
+        every = defaultdict(set)
+        for (language, order), contexts in by.items():
+            every[language] |= {f for own in contexts.values() for f, _, _ in own}
+        self.families = {x: sorted(f) for x, f in every.items()}
+        self.tables: dict[tuple, tuple] = {}
+        for (language, order), contexts in by.items():
+            families = sorted({f for own in contexts.values() for f, _, _ in own})
+            place = {f: k for k, f in enumerate(families)}
+            # Row 0 is for a context that nobody knows.
+            table, at = [[math.log(1.0 / size)] * len(families)], {}
+            for context, own in contexts.items():
+                mass, seen = [0.0] * len(families), [0] * len(families)
+                for f, _, prob in own:
+                    mass[place[f]] += prob
+                    seen[place[f]] += 1
+                rest = [math.log(max((1 - m) / max(size - k, 1), 2.2250738585072014e-308)) if k else table[0][0] for m, k in zip(mass, seen)]
+                at[context] = len(table)
+                table.append(rest)
+                for following in {n for _, n, _ in own}:
+                    line = list(rest)
+                    for f, n, prob in own:
+                        if n == following:
+                            line[place[f]] = math.log(prob)
+                    at[context, following] = len(table)
+                    table.append(line)
+            self.tables[language, order] = families, at, np.array(table)
+
+    def of(self, language: str, tokens: list[str | None]) -> list[tuple]:
+        """family, order and prob."""
+        if not (every := self.families.get(language)):
+            return []
+        best: dict = {}
+        for order in ORDERS:
+            if (known := self.tables.get((language, order))) and (grams := grams_of(tokens, order)):
+                families, at, table = known
+                counts = np.bincount([at.get(g) or at.get(g[0], 0) for g in grams], minlength=1)
+                places = counts.nonzero()[0]
+                for f, ll in zip(families, (counts[places] @ table[places]).tolist()):
+                    if ll:
+                        best[f] = order, ll
+        if not best:
+            return [(f, None, 1 / len(every)) for f in every]
+        top = max(ll for _, ll in best.values())
+        e = {f: math.exp(ll - top) for f, (_, ll) in best.items()}
+        total = sum(e.values())
+        return [(f, best[f][0] if f in best else None, e.get(f, 0.0) / total) for f in every]
+
+
 def backed_off(sequences: DataFrame, model: DataFrame, size: int) -> DataFrame:
     """seq_id, family, order and prob of every family that the sequence's language has models of.
 
     A family speaks by its highest order whose likelihood is not zero: zero says that the
-    sequence is too short. If none speaks, all are equally likely."""
+    sequence is too short. If none speaks, all are equally likely.
+
+    Sequences are rows (language, seq_id, pos, token), or whole (``tokens``). Each stays in its row, and the model, a
+    row a kind of n-gram, goes along; a model of more than MOST_SENT rows is joined by its n-grams."""
+    few = model.select("language", "family", "order", "context", "next", "prob").limit(MOST_SENT + 1).toPandas()
+    if len(few) > MOST_SENT:
+        rows = sequences.select("language", "seq_id", F.posexplode("tokens").alias("pos", "token")) if "tokens" in sequences.columns else sequences
+        return joined_orders(rows, model, size)
+    ship(sequences.sparkSession)
+    whole_ones = sequences if "tokens" in sequences.columns else whole(sequences.select("language", "seq_id", "pos", "token"))
+    rows = whole_ones.select("seq_id", "language", "tokens")
+    said = sequences.sparkSession.sparkContext.broadcast(list(few.where(few.notna(), None).itertuples(index=False, name=None)))
+    schema = rows.select("seq_id").schema.add("family", model.schema["family"].dataType).add("order", IntegerType()).add("prob", DoubleType())
+    arrow = to_arrow_schema(schema)
+
+    def run(batches):
+        models = Said(said.value, size)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                made = [models.of(x, t) for x, t in zip(part.column(1).to_pylist(), part.column(2).to_pylist())]
+                places = pa.array([k for k, m in enumerate(made) for _ in m], pa.int32())
+                flat = [r for m in made for r in m]
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(arrow[0].type).take(places), *(pa.array([r[i] for r in flat], arrow[1 + i].type) for i in range(3))], schema=arrow)
+
+    return rows.mapInArrow(run, schema)
+
+
+def joined_orders(sequences: DataFrame, model: DataFrame, size: int) -> DataFrame:
+    """``backed_off`` by joins, for models that are not sent along."""
     orders = tuple(range(1, 4))
     spoken = ngrams(sequences.withColumn("family", F.lit(None).cast("string")), orders).drop("family")
     counted = spoken.groupBy("language", "seq_id", "order", "context", "next").agg(F.count(F.lit(1)).alias("times"))

@@ -91,6 +91,11 @@ def signals(units: DataFrame, languages: tuple[str, ...] = LANGUAGES, analyzers:
     return both.select("unit_id", "path", "language", "n", F.expr("transform(hits, h -> h.id)").alias("signals"), "hits", "metrics")
 
 
+def kinds(units: DataFrame) -> DataFrame:
+    """unit_id, path, language, n, hits of the text rules, and ``kinds`` of nodes in pre-order, in one pass."""
+    return counted.hits(units, made={"kinds": (ADDED["kinds"], lambda language, source: _one(language, source, ("kinds",))[0])})
+
+
 def metrics(units: DataFrame) -> DataFrame:
     """unit_id, language, metric, value: one row a metric that the unit has."""
     rows = parsed(units, "metrics").select("unit_id", detect.language_of(F.col("path")).alias("language"), F.explode("metrics").alias("metric", "value"))

@@ -592,19 +592,18 @@ x AS (SELECT *, max(ll) OVER w AS top, count(*) OVER w AS n FROM a WINDOW w AS (
 y AS (SELECT *, CASE WHEN top IS NULL THEN 1.0::DOUBLE / n ELSE coalesce(exp(ll - top), 0) END AS e FROM x)
 SELECT seq_id, family, ord AS "order", round(e / sum(e) OVER (PARTITION BY seq_id), 6) AS prob FROM y""")
 def markov_backoff(spark, d):
-    s = spoken(spark, d)
-    size = s.select("token").distinct().count() + 1
-    return markov.backed_off(s, markov.trained_orders(markov.ngrams(s), size), size).withColumn("prob", F.round("prob", 6))
+    rows = Written(markov.whole(spoken(spark, d)), "sequences").df
+    size = rows.select(F.explode("tokens").alias("token")).distinct().count() + 1
+    return markov.backed_off(rows, markov.smoothed(markov.counted_orders(rows), size), size).withColumn("prob", F.round("prob", 6))
 
 
 @register("markov_nodes")
 def markov_nodes(spark, d):
     """Families of code units by their node sequences: models of their own verdicts' families, by language."""
-    units = code_units(spark, d)
-    verdicts = code_verdicts(spark, d).select("unit_id", F.col("primary").alias("family"))
-    rows = syntax.sequences(units).join(verdicts, "unit_id").select("language", "family", F.col("unit_id").alias("seq_id"), "pos", "token")
-    size = rows.select("token").distinct().count() + 1
-    return markov.backed_off(rows, markov.trained_orders(markov.ngrams(rows), size), size)
+    verdicts = at.attributed(syntax.kinds(code_units(spark, d)), ("unit_id", "path", "n", "language", "kinds"))
+    rows = Written(verdicts.select("language", F.col("primary").alias("family"), F.col("unit_id").alias("seq_id"), F.col("kinds").alias("tokens")), "node-sequences").df.where("size(tokens) > 0")
+    size = rows.select(F.explode("tokens").alias("token")).distinct().count() + 1
+    return markov.backed_off(rows, markov.smoothed(markov.counted_orders(rows), size), size)
 
 
 # Watching. ---------------------------------------------------------------------------------
