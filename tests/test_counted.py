@@ -36,3 +36,9 @@ def test_remembered_lines_are_bounded(monkeypatch):
     for k in range(20):
         rules.of(f"x{k} = 1\n{'y' * 300}")
     assert len(rules.lines) <= 3
+
+
+def test_full_verdicts_and_trees_read_units_once(spark):
+    plan = lambda name: queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan("attribution_full").count("MapInArrow") == 1 and "regexp_replace" not in plan("attribution_full")
+    assert "lineitem" not in plan("flat_tree") and "tree-verdicts" in plan("flat_tree")
