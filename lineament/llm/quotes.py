@@ -8,11 +8,12 @@ said them without quoting. A passage of ``FEWEST`` words or more may stand anywh
 in such a message, a shorter one must be a whole line of it.
 
 The join is on hashes: of four adjacent words, an original gives those that are the
-least among four neighbours (the leftmost of equals), and a passage gives the least
-of its first four, which any original that holds it must have chosen too. What
-meets is then compared word by word. A passage comes from the latest earlier
-message that says it. A message replies to the origin of its outermost linked
-passages (the latest of them), or else to the turn before it.
+least among four neighbours, and a passage gives the least of its first four, which
+any original that holds it must have chosen too; short passages and short lines give
+the hash of the whole. What meets is then compared word by word, once for a message
+and a passage. A passage comes from the latest earlier message that says it. A
+message replies to the origin of its outermost linked passages (the latest of them),
+or else to the turn before it.
 
 Replies make a tree of each conversation. ``thread_position`` orders it so that
 every message follows what it replies to, the branches of a message one after
@@ -44,34 +45,44 @@ from .shared import Cut, table
 BLOCK_TURNS = 4096
 GRAM, NEIGHBOURS = 4, 4
 FEWEST = GRAM + NEIGHBOURS - 1
-MARKS = r"^[ \t]*(?:>[ \t]*)*"
+BLANKS, MARKS = " \t", " \t>"
 
 
 def level_of(line: Column) -> Column:
-    marks = F.length(F.regexp_replace(F.regexp_extract(line, MARKS, 0), "[^>]", ""))
-    return F.when(F.contains(line, F.lit(">")), marks).otherwise(F.lit(0))
+    marks = F.left(line, F.length(line) - F.length(F.ltrim(line, F.lit(MARKS))))
+    return F.when(F.contains(line, F.lit(">")), F.length(marks) - F.length(F.replace(marks, F.lit(">"), F.lit("")))).otherwise(F.lit(0))
 
 
-def words_of(lines: Column) -> Column:
-    """The normalised words of lines, quote marks left out."""
-    joined = F.array_join(F.transform(lines, lambda x: F.regexp_replace(x["line"], MARKS, "")), " ")
-    return F.filter(F.split(F.lower(joined), "[ \t\r]+"), lambda w: w != "")
+def normal(text: Column) -> Column:
+    """The words of a text without quote marks, in lower case, joined by blanks."""
+    return F.trim(F.regexp_replace(F.lower(text), "[ \t\r]{2,}|[\t\r]", " "))
 
 
 def own_lines() -> Column:
-    return F.filter("lines", lambda x: x["level"] == 0)
+    """Lines of level zero."""
+    return F.filter(F.split("text", "\n"), lambda x: ~F.startswith(F.ltrim(x, F.lit(BLANKS)), F.lit(">")))
+
+
+def n_words(normal: Column) -> Column:
+    """How many words a normal text has that is not empty."""
+    return F.length(normal) - F.length(F.replace(normal, F.lit(" "), F.lit(""))) + 1
 
 
 def passages() -> Column:
     """Runs of adjacent lines of one level above zero: (level, words joined by blanks)."""
     other = "NOT (get(lines, i {0} 1).level <=> lines[i].level)"
     edges = "filter(transform(lines, (x, i) -> i), i -> lines[i].level > 0 AND " + other + ")"
-    joined = lambda a, b: F.array_join(words_of(F.slice("lines", a + 1, b - a + 1)), " ")
+    joined = lambda a, b: normal(F.array_join(F.transform(F.slice("lines", a + 1, b - a + 1), lambda x: F.ltrim(x["line"], F.lit(MARKS))), " "))
     return F.zip_with(F.expr(edges.format("-")), F.expr(edges.format("+")), lambda a, b: F.struct(F.get("lines", a)["level"].alias("level"), joined(a, b).alias("passage")))
 
 
+def least(of: str, n: int) -> str:
+    """The least of n neighbours in an array, for each place that has so many."""
+    return f"transform(slice({of}, 1, greatest(0, size({of}) - {n - 1})), (x, i) -> least(x, {', '.join(f'get({of}, i + {k})' for k in range(1, n))}))"
+
+
 def grams(words: str) -> str:
-    return f"transform(slice({words}, 1, greatest(0, size({words}) - {GRAM - 1})), (x, i) -> xxhash64({', '.join(f'get({words}, i + {k})' for k in range(GRAM))}))"
+    return f"transform(slice({words}, 1, greatest(0, size({words}) - {GRAM - 1})), (x, i) -> hash(x, {', '.join(f'get({words}, i + {k})' for k in range(1, GRAM))}))"
 
 
 def earlier(rows: DataFrame, by: list[str], value: str, order: str = "turn") -> DataFrame:
@@ -118,33 +129,39 @@ def lines_of() -> Column:
 
 def said(rows: DataFrame, quotes: DataFrame) -> DataFrame:
     """c, hash (of a passage) and turn of every message that says a quoted passage in its own words."""
-    # Only conversations with quotes are taken apart.
-    asked = rows.where("turn IS NOT NULL").join(quotes.select("c").distinct(), "c", "left_semi")
-    own = asked.select("c", "turn", "key", lines_of().alias("lines")).select("c", "turn", "key", own_lines().alias("lines"))
-    wanted = quotes.select("c", "passage", "hash").distinct().withColumn("w", F.split("passage", " "))
-    short = own.select("c", "turn", F.explode(F.array_distinct(F.transform("lines", lambda x: F.array_join(words_of(F.array(x)), " ")))).alias("passage"))
-    short = short.where("passage <> ''").join(wanted.where(F.size("w") < FEWEST).select("c", "passage", "hash"), ["c", "passage"]).select("c", "hash", "turn")
-    long = wanted.where(F.size("w") >= FEWEST).withColumn("g", F.expr(grams(f"slice(w, 1, {FEWEST})")))
-    long = long.select("c", "passage", "hash", F.size("w").alias("n"), F.array_min("g").alias("gram"), (F.array_position("g", F.array_min("g")) - 1).alias("offset"))
-    worded = own.select("c", "turn", "key", words_of(F.col("lines")).alias("w"))
-    hashed = worded.where(F.size("w") >= FEWEST).select("c", "turn", "key", F.expr(grams("w")).alias("g"))
-    windows = f"transform(slice(g, 1, size(g) - {NEIGHBOURS - 1}), (x, j) -> slice(g, j + 1, {NEIGHBOURS}))"
-    chosen = hashed.select("c", "turn", "key", "g", F.explode(F.expr(f"array_distinct(transform({windows}, (x, j) -> int(j + array_position(x, array_min(x)) - 1)))")).alias("at"))
-    met = chosen.select("c", "turn", "key", "at", F.get("g", F.col("at")).alias("gram")).join(long, ["c", "gram"]).where("at >= offset")
-    met = met.select("c", "turn", "key", "hash", "passage", "n", (F.col("at") - F.col("offset")).cast("int").alias("start"))
-    same = F.array_join(F.slice("w", F.col("start") + 1, F.col("n")), " ") == F.col("passage")
-    return short.union(met.join(worded, ["c", "turn", "key"]).where(same).select("c", "hash", "turn")).distinct()
+    # Only conversations with quotes are taken apart. Written down, they have a size that Spark knows,
+    # and texts need not move to meet them. (Others of equal hash are taken apart for nothing.)
+    quoting = Cut(quotes.select(F.xxhash64("c").alias("q")).distinct(), "quoting").df
+    asked = rows.where("turn IS NOT NULL").withColumn("q", F.xxhash64("c")).join(quoting, "q", "left_semi")
+    own = asked.select("c", "turn", F.xxhash64("text").alias("tag"), F.filter(F.transform(own_lines(), normal), lambda x: x != "").alias("own"))
+    worded = own.select("c", "turn", "tag", F.filter("own", lambda x: n_words(x) < FEWEST).alias("short"), F.split(F.array_join("own", " "), " ").alias("w"))
+    hashed = worded.select("c", "turn", "tag", "short", F.expr(grams("w")).alias("g"))
+    # An outer explode: of others Spark would compute the array once more, to see whether it is empty.
+    keys = F.array_distinct(F.concat(F.expr(least("g", NEIGHBOURS)), F.transform("short", lambda x: F.hash(x))))
+    chosen = hashed.select("c", "turn", "tag", F.explode_outer(keys).alias("gram"))
+    wanted = quotes.groupBy("c", "passage", "hash").agg(F.max("turn").alias("last")).withColumn("w", F.split("passage", " "))
+    firsts = F.least(*[F.hash(*[F.get("w", F.lit(i + k)) for k in range(GRAM)]) for i in range(NEIGHBOURS)])
+    is_short = F.size("w") < FEWEST
+    wanted = wanted.select("c", "passage", "hash", "last", is_short.alias("is_short"), F.when(is_short, F.hash("passage")).otherwise(firsts).alias("gram"))
+    met = chosen.join(wanted, ["c", "gram"]).where("turn < last").select("c", "turn", "tag", "hash", "passage", "is_short")
+    # Repeated messages are looked up once; what is compared is where its text will be.
+    met = met.repartition("c", "turn", "tag").distinct()
+    around = lambda text, by: F.concat(F.lit(by), text, F.lit(by))
+    holds = lambda by: F.contains(around(F.array_join("own", by), by), around(F.col("passage"), by))
+    same = F.when(F.col("is_short"), holds("\n")).otherwise(holds(" "))
+    return met.join(own, ["c", "turn", "tag"]).where(same).select("c", "hash", "turn").distinct()
 
 
 def parents(rows: DataFrame) -> DataFrame:
     """c, turn, key, origin (the latest of the outermost linked passages) and n_linked of messages with linked passages."""
     split = rows.where("marked AND turn IS NOT NULL").select("c", "turn", "key", lines_of().alias("lines"))
-    every = split.select("c", "turn", "key", F.explode(passages()).alias("p")).where("p.passage <> ''")
+    every = split.select("c", "turn", "key", F.explode_outer(passages()).alias("p")).where("p.passage <> ''")
     # What a message quotes twice is looked up once. Written down, the quotes have a size that Spark knows.
     quotes = Cut(every.groupBy("c", "turn", "key", F.col("p.passage").alias("passage"), F.md5("p.passage").alias("hash")).agg(F.min("p.level").alias("level")), "quotes").df
     sayers = said(rows, quotes).select("c", "hash", "turn", F.col("turn").alias("said"))
     asked = quotes.select("c", "hash", "turn", F.lit(None).cast("long").alias("said")).distinct()
-    moments = sayers.unionByName(asked).groupBy("c", "hash", "turn").agg(F.max("said").alias("said"))
+    # Read twice below, so the search behind them is done once.
+    moments = Cut(sayers.unionByName(asked).groupBy("c", "hash", "turn").agg(F.max("said").alias("said")), "moments").df
     origins = earlier(moments, ["c", "hash"], "said").where("before IS NOT NULL")
     found = quotes.join(origins, ["c", "hash", "turn"]).groupBy("c", "turn", "key")
     return found.agg(F.max(F.struct(-F.col("level"), "before"))["before"].alias("origin"), F.count(F.lit(1)).alias("n_linked"))
@@ -185,19 +202,21 @@ def linked(messages: DataFrame) -> DataFrame:
     """conv_id, turn, role, text, n_quoted, depth, n_linked, reply_to, by_quote, position and thread_position of every message."""
     rows = named_rows(messages)
     found = Cut(parents(rows), "quote-parents")
-    placed = places(rows)
     replies = found.df.groupBy("c", "turn").agg(F.max("origin").alias("quoted"))
-    nodes = placed.where("turn IS NOT NULL").join(replies, ["c", "turn"], "left").select("c", "turn", F.coalesce("quoted", "before").alias("parent"), "before", "n", "position")
-    threads = threaded(nodes)
-    timed = placed.join(threads, ["c", "turn"], "left").select(F.col("c").alias("_c"), F.col("turn").alias("_turn"), "before", "position", F.coalesce("thread_position", "position").alias("thread_position"))
+    nodes = places(rows).join(replies, ["c", "turn"], "left").select("c", "turn", F.coalesce("quoted", "before").alias("parent"), "before", "n", "position")
+    nodes = Cut(nodes, "reply-nodes").df
+    threads = threaded(nodes.where("turn IS NOT NULL"))
+    timed = nodes.join(threads, ["c", "turn"], "left").select(F.col("c").alias("_c"), F.col("turn").alias("_turn"), "before", "position", F.coalesce("thread_position", "position").alias("thread_position"))
+    # Quoted lines are left out before texts move.
+    rows = rows.withColumn("levels", F.when(F.col("marked"), F.transform(F.split("text", "\n"), level_of))).select(
+        "c", "conv_id", "turn", "role", "key",
+        F.when(F.col("marked"), F.array_join(own_lines(), "\n")).otherwise(F.col("text")).alias("text"),
+        F.greatest(F.size(F.filter("levels", lambda x: x > 0)), F.lit(0)).cast("long").alias("n_quoted"),
+        F.coalesce(F.array_max("levels"), F.lit(0)).cast("long").alias("depth"),
+    )
     out = rows.join(found.df, ["c", "turn", "key"], "left").join(timed, (F.col("c") == F.col("_c")) & F.col("turn").eqNullSafe(F.col("_turn")))
-    out = out.withColumn("lines", F.when(F.col("marked"), lines_of()))
-    own = F.array_join(F.transform(own_lines(), lambda x: x["line"]), "\n")
     return out.select(
-        "conv_id", "turn", "role",
-        F.when(F.col("marked"), own).otherwise(F.col("text")).alias("text"),
-        F.greatest(F.size(F.filter("lines", lambda x: x["level"] > 0)), F.lit(0)).cast("long").alias("n_quoted"),
-        F.coalesce(F.array_max(F.transform("lines", lambda x: x["level"])), F.lit(0)).cast("long").alias("depth"),
+        "conv_id", "turn", "role", "text", "n_quoted", "depth",
         F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"),
         F.coalesce("origin", "before").alias("reply_to"),
         F.col("origin").isNotNull().alias("by_quote"),
@@ -223,7 +242,8 @@ def requoted(messages: DataFrame) -> DataFrame:
 
 
 def quoted_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linked(requoted(table(spark, sf_dir, "conversations")))
+    # Several steps read the made messages; they are made once.
+    return linked(Cut(requoted(table(spark, sf_dir, "conversations")), "requoted").df)
 
 
 def _sql(source: str) -> str:

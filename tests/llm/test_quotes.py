@@ -123,3 +123,28 @@ def test_edges(spark):
     assert (got[1, None].position, got[1, None].reply_to, got[1, 0].position, got[1, 1].position) == (1, None, 2, 3)
     assert got[None, 1].by_quote and got[None, 1].reply_to == 0 and got[3, 1].by_quote and got[1, 0].text == ""
     assert quotes.linked(frame.where("false")).count() == 0
+
+
+def test_messages_are_made_and_looked_through_once(spark, monkeypatch, tmp_path):
+    """What several steps read is written down, so no step repeats the joins behind it."""
+    spark.createDataFrame(made(1, 5), FIELDS).write.parquet(f"{tmp_path}/conversations.parquet")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    plans, earlier, linked = [], quotes.earlier, quotes.linked
+    monkeypatch.setattr(quotes, "linked", lambda messages: plans.append(plan(messages)) or linked(messages))
+    monkeypatch.setattr(quotes, "earlier", lambda rows, *a: plans.append(plan(rows)) or earlier(rows, *a) if "hash" in a[0] else earlier(rows, *a))
+    assert quotes.quoted_conversations(spark, str(tmp_path)).count() == len(made(1, 5))
+    assert len(plans) == 2 and not any("Join" in x or "Generate" in x for x in plans)
+
+
+def test_blanks_and_repeats(spark):
+    """Blanks, carriage returns and repeated rows, against the plain version."""
+    long = "One two\tthree  four\r\n five six >seven EIGHT"
+    rows = [
+        (1, 0, "a", f"\t {long}\n\n  ok \t then\r\n"), (1, 1, "b", ">  ok then\n> >\tone two three four five six >seven eight"), (1, 2, "a", " \t>ok\tTHEN \r\n\t"), (1, 3, "b", "> six >seven\n>eight"),
+        (2, 0, "a", "w " * 40), (2, 1, "b", "> " + "w " * 39), (2, 2, "c", "> " + "w " * 41), (2, 3, "d", "> w w\n>\n> w"), (2, 4, "e", "> " + "w " * 6),
+    ]
+    got = [((r.conv_id, r.turn), (r.reply_to, r.by_quote, r.n_linked, r.thread_position)) for r in quotes.linked(spark.createDataFrame(rows, FIELDS)).collect()]
+    assert dict(got) == plain(rows) and len(got) == len(rows)
+    twice = quotes.linked(spark.createDataFrame(rows + rows, FIELDS)).collect()
+    want = plain(rows)
+    assert len(twice) == 2 * len(rows) and all((r.reply_to, r.by_quote, r.n_linked) == want[r.conv_id, r.turn][:3] for r in twice)
